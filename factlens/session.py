@@ -15,6 +15,7 @@ def local_session(cpus: int | None = None, partitions: int | None = None) -> Spa
         .config("spark.sql.shuffle.partitions", str(partitions or cpus))
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factlens.llm import quality
+from factlens.llm import mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,34 @@ _WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-
 )
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
+@_query(
+    "op8_mixing",
+    rf"""
+    WITH d AS (
+      SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), '') AS id, len({_WORDS_SQL}) AS size,
+        (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':17'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+      FROM documents),
+    s AS (SELECT source, sum(size)::DOUBLE AS source_size FROM d GROUP BY source),
+    w AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
+    l AS (
+      SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(2 * source_size) OVER o, 0))
+        / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level
+      FROM w WINDOW o AS (ORDER BY 2 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    t AS (SELECT source, source_size, least(2 * source_size, weight * max(level) OVER ()) AS target FROM l),
+    e AS (
+      SELECT d.*, source_size, target, floor(target / source_size + 1e-9) AS whole, greatest(target / source_size - floor(target / source_size + 1e-9), 0) AS p
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+    q AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM e),
+    r AS (
+      SELECT *, target - sum(size * whole) OVER (PARTITION BY source) AS rest,
+        coalesce(sum(size) OVER (PARTITION BY source ORDER BY q, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM q)
+    SELECT doc_id, size::BIGINT AS size, source_size::BIGINT AS source_size, target,
+      (size * (whole + CASE WHEN p > 0 AND 2 * before + size <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken
+    FROM r
+    """,
+)
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("copies")

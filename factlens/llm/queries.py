@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factlens.llm import mixing, quality
+from factlens.llm import mixing, pii, quality
+from factlens.llm import text as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +89,17 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("copies")
+
+
+@_query("op7_pii")
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_table(spark, sf_dir, "documents"))
+    base = T.span_list([(k, F.col(k)) for k in pii.KINDS], by_start=False)
+    of_kind = lambda i: lambda s: s["kind"] == i
+    every = [(k, F.filter("spans", of_kind(i))) for i, k in enumerate(pii.KINDS)]
+    return found.select(
+        "doc_id",
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        T.span_list(every, by_start=False).alias("spans"),
+    )

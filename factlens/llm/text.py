@@ -53,7 +53,7 @@ def running_sum(lengths: Column) -> Column:
         return F.aggregate(
             a,
             F.array().cast("array<int>"),
-            lambda acc, n: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0)) + n)),
+            lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n)),
         )
 
     def blocks(a: Column) -> Column:
@@ -103,14 +103,11 @@ NO_SPANS = "array<struct<start:int,end:int,value:string>>"
 
 def span_list(columns: list[tuple[str, Column]], by_start: bool) -> Column:
     """'kind:start:end' of arrays of spans, comma-joined: by kind as listed then start, or by start then kind."""
-    arrays = [
-        F.transform(
-            c,
-            lambda s, i=i, kind=kind: F.struct(
-                *((s["start"].alias("a"), F.lit(i).alias("b")) if by_start else (F.lit(i).alias("a"), s["start"].alias("b"))),
-                F.concat(F.lit(kind), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string")).alias("c"),
-            ),
+    def named(i: int, kind: str) -> Callable[[Column], Column]:
+        return lambda s: F.struct(
+            *((s["start"].alias("a"), F.lit(i).alias("b")) if by_start else (F.lit(i).alias("a"), s["start"].alias("b"))),
+            F.concat(F.lit(f"{kind}:"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string")).alias("c"),
         )
-        for i, (kind, c) in enumerate(columns)
-    ]
+
+    arrays = [F.transform(c, named(i, kind)) for i, (kind, c) in enumerate(columns)]
     return F.array_join(F.transform(F.sort_array(F.concat(*arrays)), lambda x: x["c"]), ",")

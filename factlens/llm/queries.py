@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlens.llm import mixing, pii, quality
+from factlens.llm import mixing, pii, quality, secrets
 from factlens.llm import text as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,17 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(base.cast("binary"), 256).alias("base_sha256"),
         T.span_list(every, by_start=False).alias("spans"),
     )
+
+
+@_query("op9_secrets")
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    base = [(k, F.col(k)) for k in secrets.KINDS]
+    of_part = lambda p: lambda s: s["part"] == p
+    linked = [(p, F.filter("linked", of_part(p))) for p in secrets.PARTS]
+    return found.select(
+        "doc_id",
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in secrets.KINDS],
+        F.sha2(T.span_list(base, by_start=True).cast("binary"), 256).alias("base_sha256"),
+        T.span_list([*base, *linked], by_start=True).alias("spans"),
+    )

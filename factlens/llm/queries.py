@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factlens.llm import chat, mixing, neardup, pii, quality, secrets, toxicity
+from factlens.llm import chat, media, mixing, neardup, packing, pii, quality, secrets, toxicity, urls
 from factlens.llm import text as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,20 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "score", "predicted", F.size("offending").cast("long").alias("n_offending"),
         (-worst["a"]).cast("long").alias("worst_start"), worst["b"].cast("long").alias("worst_end"),
     )
+
+
+@_query("op10_media_columns")
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_texts(media.store_texts(_table(spark, sf_dir, "documents")))
+
+
+@_query("op5_url_filters")
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels")
+    bad = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return urls.judge(_table(spark, sf_dir, "pages"), bad).drop("mined")
+
+
+@_query("op2_packing")
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))

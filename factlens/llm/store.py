@@ -10,11 +10,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factlens.session import ship
+
+__all__ = ["release", "shared_dir", "ship", "written"]
+
 _WRITTEN: dict[str, SparkSession] = {}
 
 
@@ -35,23 +37,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give this package to the Python workers, wherever they run; once for each application."""
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parent.parent
-    archive = Path(tempfile.mkdtemp(prefix="factlens-")) / "factlens_package.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    _SHIPPED.add(context.applicationId)
-
-
 def release() -> None:
     """Delete all tables that written() made. Results that still read them must be done by then."""
     for path, spark in list(_WRITTEN.items()):

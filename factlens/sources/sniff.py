@@ -27,6 +27,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from factlens.functions import formats as formats_
 from factlens.functions.binary import begins, signed32, unsigned
@@ -249,7 +250,7 @@ def _wave(data):
 PARSERS = {"jpeg": _jpeg, "zip": _zip, "tar": _tar, "sqlite": _sqlite, "pickle": lambda d: {"globals": pickle_globals(d)}, "toml": _toml}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _parse(kind: pd.Series, content: pd.Series) -> pd.Series:
     def one(k, data):
         if k not in PARSERS or data is None:

@@ -3,13 +3,15 @@
 Each distinct shingle set has 128 minwise values. A tree's node picks a few of the positions (each with
 probability 1 / (threshold * 128), by a hash of the node), and sends every set to the children named by its values
 there: similar sets stay together, others part. Nodes of up to `node_limit` sets are compared exhaustively with
-8-bit sketches; larger ones branch again, and what is still large at the last level is compared in blocks, so no
-partner is ever left out for size. Independent trees repeat this: at the threshold a pair survives k levels of a tree
-with probability of at least 1 / (k + 1), and meets in the first level of 24 trees (30 nodes) with 1 - 0.2^30.
-
-Equal sets are one node of the graph from the start. A first pass only asks for a spanning forest in each node (a
-star in large ones); once its links are confirmed on full sets, a second pass asks for the pairs between different
-components. So a group of thousands of copies costs a link each, not a pair each.
+8-bit sketches and sizes; larger ones branch again, and what is still large at the last level is compared in pairs of
+blocks, so no partner is ever left out for size. Independent trees repeat this: at the threshold a pair survives k
+levels of a tree with probability of at least 1 / (k + 1), and meets in the first level of 24 trees (30 nodes) with
+1 - 0.2^30. The sketch test lets through what lies within 5 standard deviations of the threshold.
+
+Equal sets are one element from the start. A node yields a spanning forest of the pairs that its sketches allow (a
+large one stars around the first of each size range, and then only pairs between different clusters), never all of its
+pairs. The clusters that these edges make are then confirmed on full sets: a cluster's texts meet once, in blocks of a
+bounded number of shingles, where an exact prefix-filtered join finds the true links. So copies cost a link each.
 """
 
 from __future__ import annotations
@@ -100,8 +102,8 @@ def _child_keys(threshold: float):
     return run
 
 
-def _forest(ids, near):
-    """Edges of a spanning forest of the graph `near`, found breadth first from the lowest id."""
+def _forest(ids, comp, near):
+    """Edges of a spanning forest of the graph `near`, with the members of a component joined from the start."""
     free, out = np.ones(len(ids), bool), []
     for root in range(len(ids)):
         if not free[root]:
@@ -110,10 +112,15 @@ def _forest(ids, near):
         queue = [root]
         while queue:
             i = queue.pop()
+            same = np.flatnonzero((comp == comp[i]) & free)
+            free[same] = False
+            queue += same.tolist()
             new = np.flatnonzero(near[i] & free)
-            free[new] = False
-            out += [(ids[i], ids[j]) for j in new]
-            queue += new.tolist()
+            if len(new):
+                _, first = np.unique(comp[new], return_index=True)
+                out += [(ids[i], ids[j]) for j in new[first]]
+                free[new] = False
+                queue += new.tolist()
     return out
 
 
@@ -124,65 +131,67 @@ def _matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _compared(node_limit: int, least: int, forest: bool):
-    """Rows (key, rep, comp, large, sketch) sorted by key and rep -> pairs (a, b) that the sketches allow.
+def _compared(least: int, percent: int):
+    """Rows (key, rep, comp, large, n, sketch) sorted by key, n and rep -> edges (u, v) that sketches and sizes allow.
 
-    forest: a spanning forest of each node, of large ones a star around the first row. Otherwise all allowed pairs
-    of different components; large nodes don't come here then. A node is complete when the next key begins.
+    A small node gives a spanning forest over its components. A large one isn't held: its rows are compared with the
+    first row of their range of sizes as they pass. A node is complete when the next key begins.
     """
 
-    def small(rep, comp, sketch):
-        if len(rep) < 2:
+    def small(rep, comp, n, sketch):
+        if len(rep) < 2 or (comp == comp[0]).all():
             return []
-        near = _matches(sketch, sketch) >= least
-        if forest:
-            np.fill_diagonal(near, False)
-            return _forest(rep.tolist(), near)
-        i, j = np.nonzero(np.triu(near & (comp[:, None] != comp[None, :]), 1))
-        return list(zip(rep[i].tolist(), rep[j].tolist(), strict=True))
+        low, high = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
+        near = (_matches(sketch, sketch) >= least) & (100 * low >= percent * high)
+        np.fill_diagonal(near, False)
+        return _forest(rep.tolist(), comp, near)
 
     def run(batches):
-        hub = None  # of a large node: its key, first row and sketch
+        hub = None  # of a large node: its key, and rep, comp, n and sketch of the first row of the range
         rest = None  # rows of a small node that may go on in the next batch
         for b in batches:
             if not b.num_rows:
                 continue
-            key, rep, comp, large = (np.asarray(b.column(i)) for i in range(4))
-            sketch = _fixed(b.column(4), T_VALUES, np.uint8)
-            pairs: list[tuple[int, int]] = []
+            key, rep, comp, large, n = (np.asarray(b.column(i)) for i in range(5))
+            sketch = _fixed(b.column(5), T_VALUES, np.uint8)
+            edges: list[tuple[int, int]] = []
             cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             ends = np.r_[cuts[1:], len(key)]
             twos = []
             for lo, hi in zip(cuts.tolist(), ends.tolist(), strict=True):
                 if large[lo]:
-                    if hub is None or hub[0] != key[lo]:
-                        hub = (key[lo], rep[lo], sketch[lo].copy())
-                    ok = (sketch[lo:hi] == hub[2][None, :]).sum(axis=1) >= least
-                    pairs += [(int(hub[1]), int(x)) for x in rep[lo:hi][ok] if x != hub[1]]
+                    at = lo
+                    while at < hi:
+                        if hub is None or hub[0] != key[at] or 100 * hub[3] < percent * n[at]:
+                            hub = (key[at], rep[at], comp[at], n[at], sketch[at].copy())
+                        stop = at + int(np.searchsorted(n[at:hi] * percent, 100 * hub[3], side="right"))
+                        ok = ((sketch[at:stop] == hub[4][None, :]).sum(axis=1) >= least) & (comp[at:stop] != hub[2])
+                        edges += [(int(hub[1]), int(x)) for x in rep[at:stop][ok]]
+                        at = stop
                     continue
                 if rest is not None and rest[0] == key[lo]:
-                    rest = (rest[0], *(np.concatenate(p) for p in zip(rest[1:], (rep[lo:hi], comp[lo:hi], sketch[lo:hi]), strict=True)))
+                    rest = (rest[0], *(np.concatenate(p) for p in zip(rest[1:], (rep[lo:hi], comp[lo:hi], n[lo:hi], sketch[lo:hi]), strict=True)))
                     if hi < len(key):
-                        pairs += small(*rest[1:])
+                        edges += small(*rest[1:])
                         rest = None
                     continue
                 if rest is not None:
-                    pairs += small(*rest[1:])
+                    edges += small(*rest[1:])
                     rest = None
                 if hi == len(key):
-                    rest = (key[lo], rep[lo:hi].copy(), comp[lo:hi].copy(), sketch[lo:hi].copy())
+                    rest = (key[lo], rep[lo:hi].copy(), comp[lo:hi].copy(), n[lo:hi].copy(), sketch[lo:hi].copy())
                 elif hi - lo == 2:
                     twos.append(lo)
                 elif hi - lo > 2:
-                    pairs += small(rep[lo:hi], comp[lo:hi], sketch[lo:hi])
+                    edges += small(rep[lo:hi], comp[lo:hi], n[lo:hi], sketch[lo:hi])
             if twos:
                 i = np.array(twos)
-                ok = ((sketch[i] == sketch[i + 1]).sum(axis=1) >= least) & (forest | (comp[i] != comp[i + 1]))
-                pairs += list(zip(rep[i][ok].tolist(), rep[i + 1][ok].tolist(), strict=True))
-            if pairs:
-                yield _pair_batch(pairs)
-        if rest is not None and (pairs := small(*rest[1:])):
-            yield _pair_batch(pairs)
+                ok = ((sketch[i] == sketch[i + 1]).sum(axis=1) >= least) & (comp[i] != comp[i + 1]) & (100 * n[i] >= percent * n[i + 1])
+                edges += list(zip(rep[i][ok].tolist(), rep[i + 1][ok].tolist(), strict=True))
+            if edges:
+                yield _pair_batch(edges)
+        if rest is not None and (edges := small(*rest[1:])):
+            yield _pair_batch(edges)
 
     return run
 
@@ -192,55 +201,103 @@ def _pair_batch(pairs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(p.min(axis=1)), pa.array(p.max(axis=1))], ["u", "v"])
 
 
+def exact_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that span the graph of all pairs with 100 * |intersection| >= percent * |union|, exactly.
+
+    Shingles are ordered by rarity; a pair that similar shares one among the first n - ceil(percent * n / 100) + 1 of
+    both. Sets go by size; candidates of the same component are skipped, the others' intersections counted at once.
+    """
+    order = sorted((i for i in range(len(ids)) if len(sets[i])), key=lambda i: len(sets[i]))
+    if len(order) < 2:
+        return []
+    flat, sizes = np.concatenate([sets[i] for i in order]), np.array([len(sets[i]) for i in order])
+    _, token, count = np.unique(flat, return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    ranked = [np.sort(x) for x in np.split(rank[token], np.cumsum(sizes)[:-1])]
+    rare = count[np.argsort(count, kind="stable")]  # how many sets have the token of a rank
+    parent = list(range(len(order)))
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    postings: dict[int, list[int]] = {}
+    marked = np.zeros(len(count), bool)
+    links = []
+    for k, r in enumerate(ranked):
+        n = len(r)
+        prefix = r[: n - -(-percent * n // 100) + 1]
+        prefix = prefix[rare[prefix] > 1].tolist()
+        seen: set[int] = set()
+        for t in prefix:
+            seen.update(postings.get(t, ()))
+        by_root: dict[int, list[int]] = {}
+        mine = find(k)
+        for c in seen:
+            if 100 * sizes[c] >= percent * n and (root := find(c)) != mine:
+                by_root.setdefault(root, []).append(c)
+        if by_root:
+            among = [c for cs in by_root.values() for c in cs]
+            marked[r] = True
+            both = np.add.reduceat(marked[np.concatenate([ranked[c] for c in among])], np.r_[0, np.cumsum(sizes[among])[:-1]], dtype=np.int64)
+            marked[r] = False
+            for c in np.array(among)[100 * both >= percent * (n + sizes[among] - both)].tolist():
+                a, b = find(k), find(c)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    links.append((ids[order[k]], ids[order[c]]))
+        for t in prefix:
+            postings.setdefault(t, []).append(k)
+    return links
+
+
 def _confirmed(shingle: int, percent: int):
-    """Rows (block, kind, a, b, text) sorted by block and kind: texts (kind 0) first, then pairs -> true links."""
+    """Rows (block, rep, text) sorted by block -> true links; a block is complete when the next begins."""
+
+    def links(ids, sets):
+        by_id: dict[int, list[np.ndarray]] = {}
+        for i, x in zip(ids, sets, strict=True):  # rows with one id and different texts are one document
+            by_id.setdefault(i, []).append(x)
+        pairs = [(i, x) for i, xs in by_id.items() for x in {x.tobytes(): x for x in xs}.values()]
+        return [(a, b) for a, b in exact_links([i for i, _ in pairs], [x for _, x in pairs], percent) if a != b]
 
     def run(batches):
-        memory, block, sets = S.WordHashes(), None, {}
+        memory, block, ids, sets = S.WordHashes(), None, [], []
         for batch in batches:
-            links = []
-            for k, kind, a, b, text in zip(*(batch.column(i) for i in range(5)), strict=True):
-                if k.as_py() != block:
-                    block, sets = k.as_py(), {}
-                if kind.as_py() == 0:
-                    sets.setdefault(a.as_py(), []).append(S.shingle_set(text.as_py(), shingle, memory))
-                    continue
-                for x in sets.get(a.as_py(), []):
-                    for y in sets.get(b.as_py(), []):
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        if both and 100 * both >= percent * (len(x) + len(y) - both):
-                            links.append((a.as_py(), b.as_py()))
-            if links:
-                yield _pair_batch(links)
+            found = []
+            for k, rep, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if k != block:
+                    found += links(ids, sets)
+                    block, ids, sets = k, [], []
+                ids.append(rep)
+                sets.append(S.shingle_set(text.as_py(), shingle, memory))
+            if found:
+                yield _pair_batch(found)
+        if found := links(ids, sets):
+            yield _pair_batch(found)
 
     return run
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, block_pairs: int = 400) -> DataFrame:
-    """The pairs whose full sets are similar enough.
+def _confirm(clusters: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int, block_shingles: int) -> DataFrame:
+    """clusters(node, component) -> links(u, v) of full sets.
 
-    Pairs are dealt into blocks by their first end, those of a hub also by their second, so that a block has about
-    block_pairs pairs whatever the degrees. A block gets the texts of its ends and computes their sets once.
+    A cluster with more than block_shingles shingles is dealt into parts by a hash, and each pair of parts is a block;
+    so a block is bounded, and each pair of sets meets. Texts are fetched for the clusters' sets only.
     """
-    spark = pairs.sparkSession
-    n = pairs.count()
-    degree = pairs.groupBy(F.col("u").alias("hub")).agg(F.count("*").alias("d")).filter(F.col("d") > block_pairs)
-    blocks = max(1, n // block_pairs)
-    dealt = pairs.join(degree, F.col("u") == F.col("hub"), "left").select(
-        "u",
-        "v",
-        F.when(F.col("d").isNull(), F.pmod(F.xxhash64("u"), F.lit(blocks)))
-        .otherwise(F.xxhash64("u", F.pmod(F.xxhash64("v"), F.ceil(F.col("d") / block_pairs))))
-        .alias("block"),
-    )
-    dealt = written(dealt, "dup-dealt")
-    ends = dealt.select("block", F.col("u").alias("end")).union(dealt.select("block", F.col("v").alias("end"))).distinct()
-    few = 2 * n <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(ends) if few else ends, F.col("id") == F.col("end")).select(
-        "block", F.lit(0).alias("kind"), F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), F.col("text")
-    )
-    asked = dealt.select("block", F.lit(1).alias("kind"), F.col("u").alias("a"), F.col("v").alias("b"), F.lit(None).cast("string").alias("text"))
-    rows = texts.union(asked).repartition(_partitions(spark, n // 2000 + 1), "block").sortWithinPartitions("block", "kind", "a", "b")
+    spark = docs.sparkSession
+    members = clusters.join(classes.select("rep", "n"), F.col("node") == F.col("rep")).select("rep", "n", "component")
+    heavy = members.groupBy(F.col("component").alias("c")).agg(F.sum("n").alias("total")).filter(F.col("total") > block_shingles)
+    parts = F.coalesce(F.ceil(F.col("total") / block_shingles), F.lit(1)).cast("int")
+    own, other = F.pmod(F.xxhash64("rep"), parts), F.explode(F.sequence(F.lit(0), parts - 1))
+    dealt = members.join(heavy, F.col("component") == F.col("c"), "left").select("rep", "component", own.alias("own"), other.alias("other"))
+    dealt = written(dealt.select("rep", F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("block")), "dup-blocks")
+    few = dealt.count() <= BROADCAST_ROWS
+    texts = docs.join(F.broadcast(dealt) if few else dealt, F.col("id") == F.col("rep")).select("block", "rep", "text")
+    rows = texts.repartition(_partitions(spark), "block").sortWithinPartitions("block", "rep")
     return rows.mapInArrow(_confirmed(shingle, percent), "u long, v long").distinct()
 
 
@@ -248,12 +305,11 @@ def _partitions(spark, least: int = 1) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), least)
 
 
-def _sketched(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    return rows.join(classes.select("rep", "sketch"), "rep").select("key", "rep", "comp", "large", "sketch")
-
-
-def _in_nodes(rows: DataFrame) -> DataFrame:
-    return rows.repartition(_partitions(rows.sparkSession), "key").sortWithinPartitions("key", "rep")
+def _edges(rows: DataFrame, classes: DataFrame, least: int, percent: int) -> DataFrame:
+    """rows(key, rep, comp, large) -> edges between components within the nodes."""
+    full = rows.join(classes.select("rep", "n", "sketch"), "rep").select("key", "rep", "comp", "large", "n", "sketch")
+    sorted_ = full.repartition(_partitions(rows.sparkSession), "key").sortWithinPartitions("key", "n", "rep")
+    return sorted_.mapInArrow(_compared(least, percent), "u long, v long").distinct()
 
 
 def _sized(rows: DataFrame) -> DataFrame:
@@ -274,7 +330,7 @@ def _blocked(rows: DataFrame, node_limit: int) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80,
-    trees: int = 24, node_limit: int = 256, levels: int = 6, seed: int = 20_240_501,
+    trees: int = 24, node_limit: int = 256, levels: int = 6, block_shingles: int = 1_500_000, seed: int = 20_240_501,
 ) -> DataFrame:
     """A row per input row: doc_id, n_shingles, component_id (least id reachable), kept (the id is the component's).
 
@@ -285,41 +341,35 @@ def near_duplicates(
     ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     threshold = percent / 100
-    least = int(T_VALUES * threshold - 5.6 * (T_VALUES * threshold * (1 - threshold)) ** 0.5)
+    least = int(T_VALUES * threshold - 5 * (T_VALUES * threshold * (1 - threshold)) ** 0.5)
     featured = written(docs.mapInArrow(_featured(shingle, seed), "id long, n long, set_key binary, sig binary"), "dup-sets")
     linkable = featured.filter("n > 0 AND id IS NOT NULL")
-    classes = linkable.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
-    classes = written(classes.mapInArrow(_with_sketch, "set_key binary, rep long, sig binary, sketch binary"), "dup-classes")
+    classes = linkable.groupBy("set_key", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")).select("set_key", "rep", "sig", "n")
+    classes = written(classes.mapInArrow(_with_sketch, "set_key binary, rep long, sig binary, n long, sketch binary"), "dup-classes")
 
-    # first level: nodes with at least two sets
     keys = classes.select("rep", "sig").mapInArrow(_root_keys(_roots(trees, threshold, seed)), "key long, rep long")
-    keys = keys.withColumn("comp", F.col("rep"))
-    first = written(_sized(keys), "dup-nodes")
-    large = (F.col("size") > node_limit).alias("large")
-    asked = _in_nodes(_sketched(first.select("key", "rep", "comp", large), classes))
-    asked = written(asked.mapInArrow(_compared(node_limit, least, True), "u long, v long").distinct(), "dup-asked")
-    linked = written(_confirm(asked, docs, shingle, percent), "dup-links")
-    comps = written(components(linked), "dup-comps")
-
-    # the same nodes again, for pairs between components; large ones branch
-    rows = first.drop("size", "comp").join(comps, F.col("rep") == F.col("node"), "left")
-    rows = written(_sized(rows.select("key", "rep", F.coalesce("component", "rep").alias("comp"))), "dup-level")
-    found = rows.filter(F.col("size") <= node_limit).select("key", "rep", "comp")
+    rows = written(_sized(keys.withColumn("comp", F.col("rep"))), "dup-nodes")
+    large = F.col("size") > node_limit
+    edges = written(_edges(rows.select("key", "rep", "comp", large.alias("large")), classes, least, percent), "dup-edges")
+    clusters = written(components(edges), "dup-clusters")
+    more = None
     for level in range(2, levels + 1):
-        rows = rows.filter(F.col("size") > node_limit)
+        # large nodes with more than one cluster branch; the last level's are compared in blocks
+        deep = rows.filter(large).select("key", "rep").join(clusters, F.col("rep") == F.col("node"), "left")
+        rows = written(_sized(deep.select("key", "rep", F.coalesce("component", "rep").alias("comp"))).filter(large), "dup-level")
         if rows.isEmpty():
             break
-        if level == levels:
-            found = found.union(_blocked(rows, node_limit).select("key", "rep", "comp"))
-            break
-        deeper = rows.select("key", "rep", "comp").join(classes.select("rep", "sig"), "rep").select("key", "rep", "comp", "sig")
-        rows = written(_sized(deeper.mapInArrow(_child_keys(threshold), "key long, rep long, comp long").distinct()), "dup-level")
-        found = found.union(rows.filter(F.col("size") <= node_limit).select("key", "rep", "comp"))
-    more = _in_nodes(_sketched(found.withColumn("large", F.lit(False)), classes)).mapInArrow(_compared(node_limit, least, False), "u long, v long")
-    more = written(more.distinct().join(asked, ["u", "v"], "left_anti"), "dup-more")
-    if not more.isEmpty():
-        linked = written(linked.union(_confirm(more, docs, shingle, percent)), "dup-links")
-        comps = written(components(linked), "dup-comps")
+        if level < levels:
+            branched = rows.select("key", "rep", "comp").join(classes.select("rep", "sig"), "rep").select("key", "rep", "comp", "sig")
+            rows = written(_sized(branched.mapInArrow(_child_keys(threshold), "key long, rep long, comp long").distinct()), "dup-level")
+            found = _edges(rows.select("key", "rep", "comp", large.alias("large")), classes, least, percent)
+        else:
+            found = _edges(_blocked(rows, node_limit).select("key", "rep", "comp", F.lit(False).alias("large")), classes, least, percent)
+        more = written(found if more is None else more.union(found), "dup-edges")
+    if more is not None and not more.isEmpty():
+        clusters = written(components(edges.union(more)), "dup-clusters")
+    links = written(_confirm(clusters, classes, docs, shingle, percent, block_shingles), "dup-links")
+    comps = written(components(links), "dup-comps")
 
     of_class = classes.select("set_key", "rep").join(comps, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     slim = featured.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("set_key")).alias("set_key"))
@@ -334,7 +384,7 @@ def _with_sketch(batches):
     for b in batches:
         if b.num_rows:
             sketch = _fixed(b.column(2), 4 * T_VALUES, np.uint32).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in sketch], pa.binary())], ["set_key", "rep", "sig", "sketch"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in sketch], pa.binary())], ["set_key", "rep", "sig", "n", "sketch"])
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

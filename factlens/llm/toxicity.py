@@ -13,7 +13,6 @@ class weighs as its share among all labels, or 0.3 if that is more, so that rare
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from factlens.llm.store import ship
+from factlens.llm.store import bounded_sample, ship
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -79,36 +78,46 @@ def fit(texts: list[str], toxic: list[int], share: float, rounds: int = 300, rat
     if not len(y) or y.min() == y.max():
         return Model({}, -20.0 if not len(y) or y.max() == 0 else 20.0)
     n1, n0 = y.sum(), (1 - y).sum()
-    bags = []  # per document: the distinct words of each sentence
-    df = (Counter(), Counter())
-    known: dict[str, set[str]] = {}
+    # words and features as numbers: a sentence is an array of its distinct words
+    word_ids: dict[str, int] = {}
+    feature_ids: dict[str, int] = {}
+    of_word: list[list[int]] = []
+    bags: list[list[np.ndarray]] = []
+    df = [np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)]
     for text, t in zip(texts, toxic, strict=True):
-        bag = [set(_WORD.findall(text[a:b].lower())) for a, b in sentences(text)]
-        bags.append([s for s in bag if s])
-        found = set()
-        for s in bag:
-            for w in s:
-                if w not in known:
-                    known[w] = word_features(w)
-                found |= known[w]
-        df[int(t)].update(found)
-
-    def chi2(f):
-        a, b = df[1][f], df[0][f]
-        c, d = n1 - a, n0 - b
-        return (n1 + n0) * (a * d - b * c) ** 2 / max((a + b) * (c + d) * n1 * n0, 1)
-
-    kept = sorted(((-chi2(f), f) for f in df[0].keys() | df[1].keys() if df[0][f] + df[1][f] >= 4), key=lambda x: x)
-    names = [f for c, f in kept[:MAX_FEATURES] if -c >= CHI2]
-    index = {f: i for i, f in enumerate(names)}
-    of_word = {w: [index[f] for f in fs if f in index] for w, fs in known.items()}
+        bag, found = [], set()
+        for a, b in sentences(text):
+            ids = set()
+            for w in _WORD.findall(text[a:b].lower()):
+                i = word_ids.setdefault(w, len(word_ids))
+                if i == len(of_word):
+                    of_word.append([feature_ids.setdefault(f, len(feature_ids)) for f in word_features(w)])
+                ids.add(i)
+            if ids:
+                bag.append(np.fromiter(ids, np.int32, len(ids)))
+                found |= ids
+        bags.append(bag)
+        while len(feature_ids) > len(df[0]):
+            df = [np.concatenate([x, np.zeros_like(x)]) for x in df]
+        seen = {f for i in found for f in of_word[i]}
+        df[int(t)][np.fromiter(seen, np.int64, len(seen))] += 1
+    size = len(feature_ids)
+    a1, a0 = df[1][:size].astype(float), df[0][:size].astype(float)
+    chi2 = (n1 + n0) * (a1 * (n0 - a0) - a0 * (n1 - a1)) ** 2 / np.maximum((a1 + a0) * (n1 + n0 - a1 - a0) * n1 * n0, 1)
+    chi2[a1 + a0 < 4] = 0
+    spelled = list(feature_ids)
+    best = sorted(np.flatnonzero(chi2 >= CHI2).tolist(), key=lambda i: (-chi2[i], spelled[i]))[:MAX_FEATURES]
+    names = [spelled[i] for i in best]
+    index = {f: j for j, f in enumerate(best)}
+    kept = {i: at for i, fs in enumerate(of_word) if (at := [index[f] for f in fs if f in index])}
+    del word_ids, feature_ids, of_word, spelled
 
     row, col, doc, n = [], [], [], 0
     counts = []
     for d, bag in enumerate(bags):
         plain = 0
         for s in bag:
-            at = [i for w in s for i in of_word[w]]
+            at = [j for i in s.tolist() if i in kept for j in kept[i]]
             if at:
                 row += [n] * len(at)
                 col += at
@@ -117,6 +126,7 @@ def fit(texts: list[str], toxic: list[int], share: float, rounds: int = 300, rat
             else:
                 plain += 1
         counts.append(plain)  # sentences without a kept feature share the bias alone
+    del bags
     row, col, doc, plain = np.array(row, int), np.array(col, int), np.array(doc, int), np.array(counts, float)
     weight = np.where(y == 1, share / n1, (1 - share) / n0) * len(y)
     x = np.r_[np.zeros(len(names)), -6.0]
@@ -140,9 +150,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_positive: int, max_n
     """docs(doc_id, text), labels(doc_id, toxic) -> texts, labels, share of toxic ones; folds with crc32 mod 5 = 0 left out."""
     spark = docs.sparkSession
     allowed = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    allowed = allowed.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("h", F.xxhash64("doc_id", F.lit(7)))
-    share = allowed.agg(F.avg("toxic").alias("s")).first()["s"]
-    picks = [r for t, k in ((1, max_positive), (0, max_negative)) for r in allowed.filter(F.col("toxic") == t).orderBy("h", "doc_id").limit(k).collect()]
+    allowed = allowed.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).withColumn("h", F.xxhash64("doc_id", F.lit(7)))
+    n = {r["toxic"]: r["n"] for r in allowed.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
+    share = n.get(1, 0) / max(sum(n.values()), 1)
+    picks = [r for t, k in ((1, max_positive), (0, max_negative)) for r in bounded_sample(allowed.filter(F.col("toxic") == t), k, n.get(t, 0), "doc_id").collect()]
     if not picks:
         return [], [], 0.0
     chosen = spark.createDataFrame([(r["doc_id"], r["toxic"], r["h"]) for r in picks], "d long, toxic int, h long")
@@ -184,7 +195,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(_scored(model), "doc_id long, score double, offending array<struct<start:int,end:int,p:double>>")
 
 
-def detect(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_negative: int = 6000, max_bytes: int = 48 << 20) -> DataFrame:
+def detect(docs: DataFrame, labels: DataFrame, max_positive: int = 2000, max_negative: int = 4000, max_bytes: int = 24 << 20) -> DataFrame:
     """docs(doc_id, text), labels(doc_id, toxic) -> doc_id, held_out, score, predicted, offending.
 
     Labels of unknown documents and null labels are ignored; of contradicting ones the toxic one counts. Without

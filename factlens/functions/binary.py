@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from factlens.functions.formatting import format_bytes
+from factlens.functions.nested import bound
 
 #: Format and the bytes that it begins with, in the order of trial.
 SIGNATURES = [
@@ -33,16 +34,14 @@ def magic(data: Column) -> Column:
 
 def entropy(data: Column) -> Column:
     """Shannon entropy of the bytes in bits; 0 for none. At most 256 different values are counted in the sorted array."""
-    hexed = F.hex(data)
-    values = F.transform(F.sequence(F.lit(1), F.length(data)), lambda i: F.substring(hexed, i * 2 - 1, F.lit(2)))
+    values = bound(F.hex(data), lambda hexed: F.transform(F.sequence(F.lit(1), F.length(data)), lambda i: F.substring(hexed, i * 2 - 1, F.lit(2))))
     n = F.length(data).cast("double")
 
     def bits(a: Column) -> Column:
         counts = F.transform(F.array_distinct(a), lambda v: F.size(F.filter(a, lambda x: x == v)))
         return F.aggregate(counts, F.lit(0.0), lambda acc, c: acc - (c / n) * F.log2(c / n))
 
-    one = F.get(F.transform(F.array(values), bits), F.lit(0))
-    return F.when(F.length(data) > 0, one).when(data.isNotNull(), F.lit(0.0))
+    return F.when(F.length(data) > 0, bound(values, bits)).when(data.isNotNull(), F.lit(0.0))
 
 
 def is_utf8(data: Column) -> Column:

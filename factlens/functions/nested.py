@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with value computed once for the row; a lambda would compute it again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def finite(a: Column) -> Column:
     return F.filter(F.transform(a, lambda x: x.cast("double")), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
 
@@ -14,15 +19,13 @@ def finite(a: Column) -> Column:
 def array_stats(a: Column, limit: int | None = None) -> Column:
     """Numeric facts of an array column: like numeric_stats, row by row; all elements unless a limit is given."""
     a = a if limit is None else F.slice(a, 1, limit)
-    ok = F.array_sort(finite(a))
-    n = F.size(ok)
-    mean = F.aggregate(ok, F.lit(0.0), lambda s, x: s + x) / n
-    spread = F.aggregate(ok, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
-    at = lambda i: F.get(ok, i.cast("int"))
-    half = F.floor(n / 2)
-    return F.when(
-        n > 0,
-        F.struct(
+
+    def facts(ok: Column, mean: Column) -> Column:
+        n = F.size(ok)
+        spread = F.aggregate(ok, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
+        at = lambda i: F.get(ok, i.cast("int"))
+        half = F.floor(n / 2)
+        return F.struct(
             F.get(ok, F.lit(0)).alias("min"),
             F.get(ok, n - 1).alias("max"),
             mean.alias("mean"),
@@ -34,8 +37,13 @@ def array_stats(a: Column, limit: int | None = None) -> Column:
             F.size(F.filter(a, lambda x: F.isnan(x.cast("double")))).cast("long").alias("n_nan"),
             F.size(F.filter(a, lambda x: F.abs(x.cast("double")) == float("inf"))).cast("long").alias("n_inf"),
             F.size(a).cast("long").alias("total"),
-        ),
-    )
+        )
+
+    def of_finite(ok: Column) -> Column:
+        mean = F.aggregate(ok, F.lit(0.0), lambda s, x: s + x) / F.size(ok)
+        return F.when(F.size(ok) > 0, bound(mean, lambda m: facts(ok, m)))
+
+    return bound(F.array_sort(finite(a)), of_finite)
 
 
 def array_facts(a: Column, sample: int = 5) -> Column:

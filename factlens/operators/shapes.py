@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factlens.functions.nested import bound
+
 
 def graph_facts(edges: DataFrame, src: str = "src", dst: str = "dst", directed: bool = False) -> DataFrame:
     """One row: node_count, edge_count (distinct), density. Undirected edges count once in either direction; a null end
@@ -13,11 +15,12 @@ def graph_facts(edges: DataFrame, src: str = "src", dst: str = "dst", directed:
     if not directed:
         e = e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     e = e.distinct()
-    nodes = e.select(F.explode(F.array("a", "b")).alias("n")).distinct().agg(F.count("*").alias("node_count"))
-    total = e.agg(F.count("*").alias("edge_count"))
+    zero = F.lit(0).cast("long")
+    nodes = e.select(F.explode(F.array("a", "b")).alias("n")).distinct().agg(F.count("*").alias("node_count")).withColumn("edge_count", zero)
+    total = e.agg(F.count("*").alias("edge_count")).select(zero.alias("node_count"), "edge_count")
     n, m = F.col("node_count"), F.col("edge_count")
     density = F.coalesce(F.try_divide((m if directed else 2 * m).cast("double"), (n * (n - 1)).cast("double")), F.lit(0.0))
-    return nodes.join(F.broadcast(total)).select("node_count", "edge_count", density.alias("density"))  # one row each
+    return nodes.union(total).agg(F.max("node_count").alias("node_count"), F.max("edge_count").alias("edge_count")).withColumn("density", density)
 
 
 def sparse_facts(coords: DataFrame, rows: int, columns: int, value: str = "v") -> DataFrame:
@@ -43,8 +46,8 @@ def vector_facts(df: DataFrame, column: str) -> DataFrame:
 
 def byte_entropy(df: DataFrame, column: str) -> DataFrame:
     """One row: bytes and Shannon entropy over all values of a binary column; 256 counters at most meet."""
-    hexed = F.hex(F.col(column))
-    codes = F.transform(F.sequence(F.lit(1), F.length(F.col(column))), lambda i: F.substring(hexed, i * 2 - 1, F.lit(2)))
+    length = F.length(F.col(column))
+    codes = bound(F.hex(F.col(column)), lambda hexed: F.transform(F.sequence(F.lit(1), length), lambda i: F.substring(hexed, i * 2 - 1, F.lit(2))))
     counts = df.filter(F.length(F.col(column)) > 0).select(F.explode(codes).alias("b")).groupBy("b").agg(F.count("*").alias("c"))
     total = counts.agg(F.sum("c").alias("n"))
     p = F.col("c") / F.col("n")

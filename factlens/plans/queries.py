@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factlens.functions import binary, datetimes, formats, formatting, nested, numbers, redaction, strings
-from factlens.operators import profile, records, shapes
+from factlens.operators import patterns, profile, records, shapes
 from factlens.plans.registry import query, table
 
 LINEITEM_NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -492,3 +492,21 @@ def text_format(spark, sf_dir):
 def deterministic_sample(spark, sf_dir):
     """A sampling operator: 100 rows, the same however the table is partitioned; hashes differ between engines."""
     return profile.sample_rows(table(spark, sf_dir, "orders"), 100, ["o_orderkey"])
+
+
+@query(
+    "pattern_confidence",
+    """WITH t AS (SELECT l_quantity AS x FROM lineitem), n AS (SELECT count(x) AS n FROM t),
+      m AS (SELECT 'percent_0_1' AS pattern, count(*) FILTER (x BETWEEN 0 AND 1) AS matched FROM t UNION ALL SELECT 'percent_0_100', count(*) FILTER (x BETWEEN 0 AND 100) FROM t
+        UNION ALL SELECT 'latitude', count(*) FILTER (x BETWEEN -90 AND 90) FROM t UNION ALL SELECT 'longitude', count(*) FILTER (x BETWEEN -180 AND 180) FROM t
+        UNION ALL SELECT 'binary', count(*) FILTER (x IN (0, 1)) FROM t UNION ALL SELECT 'currency', count(*) FILTER (round(x * 100) / 100 = x AND abs(x) < 1000000) FROM t
+        UNION ALL SELECT 'zero', count(*) FILTER (x = 0) FROM t UNION ALL SELECT 'year', count(*) FILTER (x BETWEEN 1900 AND 2100) FROM t)
+      SELECT pattern, matched::BIGINT AS matched, matched / n AS confidence FROM m, n WHERE matched > 0""",
+)
+def pattern_confidence(spark, sf_dir):
+    return patterns.number_library().detect_all(table(spark, sf_dir, "lineitem"), "l_quantity")
+
+
+@query("monotonic", "SELECT bool_and(coalesce(x >= p, true)) AS increasing, bool_and(coalesce(x <= p, true)) AS decreasing FROM (SELECT o_orderkey * 2 AS x, lag(o_orderkey * 2) OVER (ORDER BY o_orderkey) AS p FROM orders)")
+def monotonic(spark, sf_dir):
+    return patterns.monotonic(table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 2).alias("x")), "x", "o_orderkey")

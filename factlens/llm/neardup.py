@@ -124,13 +124,6 @@ def _forest(ids, comp, near):
     return out
 
 
-def _matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.empty((len(a), len(b)), np.int16)
-    for i in range(0, len(a), 64):
-        out[i : i + 64] = (a[i : i + 64, None, :] == b[None, :, :]).sum(axis=2, dtype=np.int16)
-    return out
-
-
 def _compared(least: int, percent: int):
     """Rows (key, rep, comp, large, n, sketch) sorted by key, n and rep -> edges (u, v) that sketches and sizes allow.
 
@@ -141,8 +134,11 @@ def _compared(least: int, percent: int):
     def small(rep, comp, n, sketch):
         if len(rep) < 2 or (comp == comp[0]).all():
             return []
-        low, high = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
-        near = (_matches(sketch, sketch) >= least) & (100 * low >= percent * high)
+        near = np.empty((len(rep), len(rep)), bool)
+        for i in range(0, len(rep), 32):
+            rows = slice(i, i + 32)
+            near[rows] = (sketch[rows, None, :] == sketch[None, :, :]).sum(axis=2, dtype=np.int16) >= least
+            near[rows] &= (100 * n[rows, None] >= percent * n[None, :]) & (100 * n[None, :] >= percent * n[rows, None])
         np.fill_diagonal(near, False)
         return _forest(rep.tolist(), comp, near)
 
@@ -330,7 +326,7 @@ def _blocked(rows: DataFrame, node_limit: int) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80,
-    trees: int = 24, node_limit: int = 256, levels: int = 6, block_shingles: int = 1_500_000, seed: int = 20_240_501,
+    trees: int = 24, node_limit: int = 1536, levels: int = 6, block_shingles: int = 1_500_000, seed: int = 20_240_501,
 ) -> DataFrame:
     """A row per input row: doc_id, n_shingles, component_id (least id reachable), kept (the id is the component's).
 

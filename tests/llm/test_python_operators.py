@@ -230,8 +230,10 @@ def test_components(spark):
 
     for a, b in edges:
         parent[max(find(a), find(b))] = min(find(a), find(b))
-    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+    for at_once in (0, 10**6):
+        got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long"), at_once=at_once).collect()}
+        assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
 @settings(max_examples=40, deadline=None)

@@ -386,4 +386,6 @@ def _with_sketch(batches):
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs without the rows of documents that aren't kept, columns as they were; rows with one id are all kept or none."""
     dropped = near_duplicates(docs, id_col, text_col, **how).filter("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col("__id"), "left_anti")
+    dropped = written(dropped, "dup-dropped")
+    few = dropped.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(dropped) if few else dropped, F.col(id_col) == F.col("__id"), "left_anti")

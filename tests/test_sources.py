@@ -125,3 +125,15 @@ def test_readers(spark, folder, tmp_path):
 def test_pickles_are_never_loaded():
     assert S.pickle_globals(pickle.dumps(print, protocol=2)) == ["builtins.print"] or S.pickle_globals(pickle.dumps(print, protocol=2)) == ["__builtin__.print"]
     assert S.jpeg_size(b"\xff\xd8") is None
+
+
+def test_describe_path(spark, folder):
+    from factlens import describe_path
+
+    assert describe_path(spark, str(folder / "a.png")).content == "'a.png': png file (24.0 B, 64x32)."
+    deep = describe_path(spark, str(folder / "a.csv"), deep=True).content
+    assert deep.startswith("'a.csv': csv file (12.0 B). A Spark DataFrame with 2 rows and 2 columns.")
+    tree = describe_path(spark, str(folder)).content
+    assert "files in 2 directories" in tree and "a.png" in tree
+    with pytest.raises(readers.RefusedError):
+        describe_path(spark, str(folder / "a.pkl"), deep=True)

@@ -2,14 +2,14 @@
 
 Each distinct shingle set has 128 minwise values. A tree's node picks a few of the positions (each with
 probability 1 / (threshold * 128), by a hash of the node), and sends every set to the children named by its values
-there: similar sets stay together, others part. Nodes of up to `node_limit` sets are compared exhaustively with
-8-bit sketches and sizes; larger ones branch again, and what is still large at the last level is compared in pairs of
-blocks, so no partner is ever left out for size. Independent trees repeat this: at the threshold a pair survives k
+there: similar sets stay together, others part. Nodes with up to `node_limit` sets in a range of sizes are compared
+exhaustively with 8-bit sketches, in a window of the sizes that can be similar; more crowded ones branch again, and what
+is still crowded at the last level is compared in pairs of blocks, so no partner is ever left out for size. Independent trees repeat this: at the threshold a pair survives k
 levels of a tree with probability of at least 1 / (k + 1), and meets in the first level of 24 trees (30 nodes) with
 1 - 0.2^30. The sketch test lets through what lies within 5 standard deviations of the threshold.
 
 Equal sets are one element from the start. A node yields a spanning forest of the pairs that its sketches allow (a
-large one stars around the first of each size range, and then only pairs between different clusters), never all of its
+crowded one stars around the first of each size range, and branches only between different clusters), never all of its
 pairs. The clusters that these edges make are then confirmed on full sets: a cluster's texts meet once, in blocks of a
 bounded number of shingles, where an exact prefix-filtered join finds the true links. So copies cost a link each.
 """
@@ -124,10 +124,48 @@ def _forest(ids, comp, near):
     return out
 
 
+class _Window:
+    """A node streamed by size: each set meets those before it that are large enough, which are kept; others leave."""
+
+    def __init__(self, key, least: int, percent: int):
+        self.key, self.least, self.percent, self.labels = key, least, percent, 0
+        self.rep = self.comp = self.n = self.label = np.empty(0, np.int64)
+        self.sketch = np.empty((0, T_VALUES), np.uint8)
+
+    def add(self, rep, comp, n, sketch) -> list[tuple[int, int]]:
+        """Edges of the next rows (in order of n); within the window one per pair of groups that it joins."""
+        edges = []
+        for i in range(0, len(rep), 32):
+            part = slice(i, i + 32)
+            stay = 100 * self.n >= self.percent * n[part][0]
+            k = int(stay.sum())
+            fresh = len(rep[part])
+            _, same = np.unique(np.r_[self.comp[stay], comp[part]], return_inverse=True)
+            label = np.r_[self.label[stay], self.labels + np.arange(fresh)]
+            self.labels += fresh
+            self.rep, self.comp, self.n = np.r_[self.rep[stay], rep[part]], np.r_[self.comp[stay], comp[part]], np.r_[self.n[stay], n[part]]
+            self.sketch = np.concatenate([self.sketch[stay], sketch[part]])
+            near = (self.sketch[k:, None, :] == self.sketch[None, :, :]).sum(axis=2, dtype=np.int16) >= self.least
+            near &= (100 * self.n[None, :] >= self.percent * self.n[k:, None]) & (np.arange(len(self.n))[None, :] < k + np.arange(fresh)[:, None])
+            for r in range(fresh):
+                at = k + r
+                twins = np.flatnonzero(same[:at] == same[at])
+                if len(twins):
+                    label[at] = label[twins[0]]
+                hits = np.flatnonzero(near[r])
+                if len(hits):
+                    joined, first = np.unique(label[hits], return_index=True)
+                    edges += [(int(self.rep[at]), int(self.rep[hits[f]])) for g, f in zip(joined, first, strict=True) if g != label[at]]
+                    label[np.isin(label, joined)] = label[at]
+            self.label = label
+        return edges
+
+
 def _compared(least: int, percent: int):
-    """Rows (key, rep, comp, large, n, sketch) sorted by key, n and rep -> edges (u, v) that sketches and sizes allow.
+    """Rows (key, rep, comp, mode, n, sketch) sorted by key, n and rep -> edges (u, v) that sketches and sizes allow.
 
-    A small node gives a spanning forest over its components. A large one isn't held: its rows are compared with the
+    Mode 0, a small node, is held and gives a spanning forest over its components. Mode 1, a large one, is streamed
+    through a window of sizes. Mode 2, one with too many sets of about one size, isn't compared: its rows meet the
     first row of their range of sizes as they pass. A node is complete when the next key begins.
     """
 
@@ -143,19 +181,25 @@ def _compared(least: int, percent: int):
         return _forest(rep.tolist(), comp, near)
 
     def run(batches):
-        hub = None  # of a large node: its key, and rep, comp, n and sketch of the first row of the range
+        hub = None  # of a crowded node: its key, and rep, comp, n and sketch of the first row of the range
+        window = None  # of a large node
         rest = None  # rows of a small node that may go on in the next batch
         for b in batches:
             if not b.num_rows:
                 continue
-            key, rep, comp, large, n = (np.asarray(b.column(i)) for i in range(5))
+            key, rep, comp, mode, n = (np.asarray(b.column(i)) for i in range(5))
             sketch = _fixed(b.column(5), T_VALUES, np.uint8)
             edges: list[tuple[int, int]] = []
             cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             ends = np.r_[cuts[1:], len(key)]
             twos = []
             for lo, hi in zip(cuts.tolist(), ends.tolist(), strict=True):
-                if large[lo]:
+                if mode[lo] == 1:
+                    if window is None or window.key != key[lo]:
+                        window = _Window(key[lo], least, percent)
+                    edges += window.add(rep[lo:hi], comp[lo:hi], n[lo:hi], sketch[lo:hi])
+                    continue
+                if mode[lo] == 2:
                     at = lo
                     while at < hi:
                         if hub is None or hub[0] != key[at] or 100 * hub[3] < percent * n[at]:
@@ -302,20 +346,30 @@ def _partitions(spark, least: int = 1) -> int:
 
 
 def _edges(rows: DataFrame, classes: DataFrame, least: int, percent: int) -> DataFrame:
-    """rows(key, rep, comp, large) -> edges between components within the nodes."""
-    full = rows.join(classes.select("rep", "n", "sketch"), "rep").select("key", "rep", "comp", "large", "n", "sketch")
+    """rows(key, rep, comp, mode) -> edges between components within the nodes."""
+    full = rows.join(classes.select("rep", "n", "sketch"), "rep").select("key", "rep", "comp", "mode", "n", "sketch")
     sorted_ = full.repartition(_partitions(rows.sparkSession), "key").sortWithinPartitions("key", "n", "rep")
     return sorted_.mapInArrow(_compared(least, percent), "u long, v long").distinct()
 
 
 def _sized(rows: DataFrame) -> DataFrame:
-    """Adds the node's size and whether it holds more than one component; single sets and components drop out."""
+    """Adds the node's size; nodes of a single component drop out."""
     sizes = (
         rows.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
     )
     return rows.join(sizes.select("k", "size"), F.col("key") == F.col("k")).drop("k")
 
 
+def _moded(rows: DataFrame, classes: DataFrame, node_limit: int, percent: int) -> DataFrame:
+    """Adds the mode: 0 up to node_limit sets, 2 if more than node_limit are of one size range (ends percent apart), else 1."""
+    large = rows.filter(F.col("size") > node_limit).join(classes.select("rep", "n"), "rep")
+    ranges = large.groupBy("key", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).alias("r")).agg(F.count("*").alias("c"))
+    crowded = written(ranges.filter(F.col("c") > node_limit).select(F.col("key").alias("k")).distinct(), "dup-crowded")
+    few = crowded.count() <= BROADCAST_ROWS
+    mode = F.when(F.col("k").isNotNull(), 2).when(F.col("size") > node_limit, 1).otherwise(0)
+    return rows.join(F.broadcast(crowded) if few else crowded, F.col("key") == F.col("k"), "left").withColumn("mode", mode).drop("k")
+
+
 def _blocked(rows: DataFrame, node_limit: int) -> DataFrame:
     """Large last-level nodes as nodes of two blocks each: every pair of blocks, and so every pair, meets once or more."""
     n = F.ceil(F.col("size") / (node_limit * 2)).cast("int")
@@ -345,22 +399,23 @@ def near_duplicates(
 
     keys = classes.select("rep", "sig").mapInArrow(_root_keys(_roots(trees, threshold, seed)), "key long, rep long")
     rows = written(_sized(keys.withColumn("comp", F.col("rep"))), "dup-nodes")
-    large = F.col("size") > node_limit
-    edges = written(_edges(rows.select("key", "rep", "comp", large.alias("large")), classes, least, percent), "dup-edges")
+    rows = _moded(rows, classes, node_limit, percent)
+    edges = written(_edges(rows.select("key", "rep", "comp", "mode"), classes, least, percent), "dup-edges")
     clusters = written(components(edges), "dup-clusters")
     more = None
     for level in range(2, levels + 1):
-        # large nodes with more than one cluster branch; the last level's are compared in blocks
-        deep = rows.filter(large).select("key", "rep").join(clusters, F.col("rep") == F.col("node"), "left")
-        rows = written(_sized(deep.select("key", "rep", F.coalesce("component", "rep").alias("comp"))).filter(large), "dup-level")
+        # crowded nodes with more than one cluster branch; the last level's are compared in blocks
+        deep = rows.filter("mode = 2").select("key", "rep").join(clusters, F.col("rep") == F.col("node"), "left")
+        rows = written(_sized(deep.select("key", "rep", F.coalesce("component", "rep").alias("comp"))), "dup-level")
         if rows.isEmpty():
             break
         if level < levels:
             branched = rows.select("key", "rep", "comp").join(classes.select("rep", "sig"), "rep").select("key", "rep", "comp", "sig")
             rows = written(_sized(branched.mapInArrow(_child_keys(threshold), "key long, rep long, comp long").distinct()), "dup-level")
-            found = _edges(rows.select("key", "rep", "comp", large.alias("large")), classes, least, percent)
+            rows = _moded(rows, classes, node_limit, percent)
+            found = _edges(rows.select("key", "rep", "comp", "mode"), classes, least, percent)
         else:
-            found = _edges(_blocked(rows, node_limit).select("key", "rep", "comp", F.lit(False).alias("large")), classes, least, percent)
+            found = _edges(_blocked(rows, node_limit).select("key", "rep", "comp", F.lit(1).alias("mode")), classes, least, percent)
         more = written(found if more is None else more.union(found), "dup-edges")
     if more is not None and not more.isEmpty():
         clusters = written(components(edges.union(more)), "dup-clusters")

@@ -19,7 +19,6 @@ from factlens.session import ship
 __all__ = ["bounded_sample", "release", "shared_dir", "ship", "written"]
 
 
-
 def bounded_sample(df: DataFrame, k: int, n: int, *keys: str) -> DataFrame:
     """About the k of n rows with the lowest hashes of the keys, and no more than k.
 

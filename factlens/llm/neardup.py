@@ -2,7 +2,7 @@
 
 Each distinct shingle set has 128 minwise values. A tree's node picks a few of the positions (each with
 probability 1 / (threshold * 128), by a hash of the node), and sends every set to the children named by its values
-there: similar sets stay together, others part. Nodes with up to `node_limit` sets in a range of sizes are compared
+there: similar sets stay together, others part. Nodes with up to 3 `node_limit` sets in a range of sizes are compared
 exhaustively with 8-bit sketches, in a window of the sizes that can be similar; more crowded ones branch again, and what
 is still crowded at the last level is compared in pairs of blocks, so no partner is ever left out for size. Independent trees repeat this: at the threshold a pair survives k
 levels of a tree with probability of at least 1 / (k + 1), and meets in the first level of 24 trees (30 nodes) with
@@ -361,10 +361,10 @@ def _sized(rows: DataFrame) -> DataFrame:
 
 
 def _moded(rows: DataFrame, classes: DataFrame, node_limit: int, percent: int) -> DataFrame:
-    """Adds the mode: 0 up to node_limit sets, 2 if more than node_limit are of one size range (ends percent apart), else 1."""
+    """Adds the mode: 0 up to node_limit sets, 2 if over three times as many are of one size range (ends percent apart), else 1."""
     large = rows.filter(F.col("size") > node_limit).join(classes.select("rep", "n"), "rep")
     ranges = large.groupBy("key", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).alias("r")).agg(F.count("*").alias("c"))
-    crowded = written(ranges.filter(F.col("c") > node_limit).select(F.col("key").alias("k")).distinct(), "dup-crowded")
+    crowded = written(ranges.filter(F.col("c") > 3 * node_limit).select(F.col("key").alias("k")).distinct(), "dup-crowded")
     few = crowded.count() <= BROADCAST_ROWS
     mode = F.when(F.col("k").isNotNull(), 2).when(F.col("size") > node_limit, 1).otherwise(0)
     return rows.join(F.broadcast(crowded) if few else crowded, F.col("key") == F.col("k"), "left").withColumn("mode", mode).drop("k")

@@ -163,6 +163,27 @@ def test_pii(spark):
     assert pii.find_pii(docs.limit(0)).count() == 0
 
 
+def test_pii_finds_forms_the_strict_patterns_miss(spark):
+    rng = random.Random(3)
+    parts = ["x@y.zz", "+1 (222) 555-0199", "4111 1111 1111 1111", "1.2.3.4", "12345678", "999.1.1.1", "é", "text", "+", "@", "4111111111111111", ".", " "]
+    rows = PII_ROWS + [(1000 + i, "".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(12)))) for i in range(60)]
+    plain = [(3000 + i, f"born {1950 + i}-0{i % 9 + 1}-12, seen (at) home, order 12345678{i}0123") for i in range(40)]
+    for more in ([], plain):
+        docs = _docs(spark, rows + more)
+        texts = dict(rows + more)
+        got = {r["doc_id"]: {(s["kind"], texts[r["doc_id"]][s["start"] : s["end"]]) for s in r["spans"]} for r in pii.find_pii(docs).filter("doc_id = 23 OR doc_id >= 3000").collect()}
+        assert got.pop(23) == {(0, "me (at) site (dot) org"), (3, "555-123-4567"), (1, "00001.2.3.255"), (1, "0.0.0.0")}
+        assert not any(got.values()) and len(got) == len(more)
+    assert pii.redact(docs).filter("doc_id = 23").first()["text"] == "[EMAIL], tel [PHONE] [IP] [IP]"
+
+
+def test_pii_threshold_holds_in_every_stretch():
+    scores, y = np.r_[np.full(900, 0.9), np.full(10, 0.4)], np.r_[np.ones(900), np.zeros(10)]
+    assert pii.calibrated(scores, y, 0.95) == 0.9
+    assert pii.calibrated(scores, 1 - y, 0.95) > 1
+    assert pii.calibrated(np.array([0.9] * 5 + [0.8, 0.7]), np.array([1.0] * 6 + [0.0]), 0.95) == 0.8
+
+
 def test_span_lists(spark):
     docs = _docs(spark, PII_ROWS)
     found = pii.find_pii(docs).select("doc_id", T.span_list([(k, F.col(k)) for k in pii.KINDS], by_start=False).alias("s")).collect()

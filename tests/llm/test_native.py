@@ -298,6 +298,15 @@ def test_mined_rules_equal_counting(spark):
     assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
 
 
+def test_rules_need_the_same_count_in_large_tables(spark):
+    def mined(n):
+        tokens = F.when(F.col("id") < 20, F.array(F.lit("end:html"), F.lit("site:bad.info"))).otherwise(F.array(F.lit("end:html"), F.concat(F.lit("site:"), F.col("id"))))
+        df = spark.range(n).select(tokens.alias("tokens"), ((F.col("id") < 20) | (F.col("id") % 50 == 0)).alias("bad"))
+        return [tuple(r["tokens"]) for r in urls.mined_rules(df).collect()]
+
+    assert mined(1000) == mined(30_000) == [("site:bad.info",)]
+
+
 def test_unit_hash_is_a_plain_md5(spark):
     got = spark.createDataFrame([(5,), (None,)], "v long").select(T.unit_hash(F.col("v"), 17).alias("u")).collect()
     want = [(int(hashlib.md5(f"{v}:17".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for v in ("5", "")]

@@ -6,7 +6,8 @@ full-batch Adam; afterwards the sentence probabilities locate what offends.
 
 Features are words, and their first four and five letters, lower-cased; those whose document frequencies differ
 between the classes (chi-squared) are kept. The fit uses a bounded sample: at most `max_positive` and `max_negative`
-labelled documents with the lowest hashes, and at most `max_bytes` of text; the toxic
+labelled documents with the lowest hashes, and at most `max_bytes` of text, where texts of over 1/64 of that come last,
+the shorter first, so that a long text can only take the place of longer ones; the toxic
 class weighs as its share among all labels, or 0.3 if that is more, so that rare toxic words still count. Scoring reads every whole text.
 """
 
@@ -158,8 +159,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_positive: int, max_n
         return [], [], 0.0
     chosen = spark.createDataFrame([(r["doc_id"], r["toxic"], r["h"]) for r in picks], "d long, toxic int, h long")
     rows = docs.filter(F.col("text").isNotNull()).join(F.broadcast(chosen), F.col("doc_id") == F.col("d")).select("h", "toxic", "text")
-    order = Window.orderBy("h", "toxic").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("bytes", F.sum(F.octet_length("text")).over(order)).filter(F.col("bytes") <= max_bytes).select("toxic", "text").collect()
+    size = F.octet_length("text").cast("long")
+    rows = rows.withColumn("long", F.when(size > max_bytes // 64, size).otherwise(F.lit(0)))
+    order = Window.orderBy("long", "h", "toxic").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("bytes", F.sum(size).over(order)).filter(F.col("bytes") <= max_bytes).select("toxic", "text").collect()
     return [r["text"] for r in rows], [r["toxic"] for r in rows], float(share)
 
 

@@ -153,6 +153,17 @@ def test_multiple_instances(spark):
     assert none < 0.01
 
 
+def test_long_texts_do_not_remove_others_from_the_toxicity_sample(spark):
+    used = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    length = {i: 70_000 if i % 3 == 0 else 3_000 * i if i % 3 == 1 and i < 10 else 20 for i in range(60)}
+    docs = spark.createDataFrame([(i, "x" * length[i]) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    texts, toxic, share = toxicity.training_sample(docs, labels, 2000, 4000, 64_000)
+    want = [i for i in used if length[i] < 70_000]
+    assert sorted(map(len, texts)) == sorted(length[i] for i in want)
+    assert sum(toxic) == sum(i % 2 for i in want) and share == sum(i % 2 for i in used) / len(used)
+
+
 # ---- near-duplicates ---------------------------------------------------------------------------------------------
 
 

@@ -1,10 +1,15 @@
 """Secrets: strict base spans, and weak credential parts that count only together.
 
-An access identifier, a secret or an endpoint alone is weak evidence. Parts are linked by an interval join:
-a secret is reported if an identifier or an endpoint lies within `scope` characters of it in the same text, an
-identifier if a secret does, an endpoint if both do. The join is on (text, bin of `scope` characters): each bin
-keeps only the first and last place of every sort of part, and a part looks at its own bin and both neighbours,
-so a crowded bin costs no more than a sparse one and no pairs are formed.
+An access identifier, a secret or an endpoint alone is weak evidence. Parts are linked by an interval join within one
+text: two parts are near if neither overlaps the other and at most `scope` characters lie between the end of one and
+the start of the next, however long they are. A secret is reported if an identifier is near, an identifier if a secret
+is, an endpoint if both are. So a part never completes itself or one that it overlaps (a token inside an address), and
+an address next to a token says nothing without an identifier.
+
+The join is on (text, bin of `scope` characters). A bin keeps the first and last start of every sort of part that starts
+in it, and the first and last end of those that end in it; a part looks at the bin of its own end and the one after it,
+and at the bin of its own start and the one before. That answers the question exactly, a crowded bin costs no more than
+a sparse one, and no pairs are formed.
 
 Offsets are code points, end exclusive.
 """
@@ -23,10 +28,10 @@ KEYWORDS = r"(?i:password|passwd|secret|token|api_?key)"
 ASSIGN = KEYWORDS + r"[\"']?+\x20*+[:=]\x20*+[\"']?+[A-Za-z0-9+/_.=-]++"
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"[0-9a-f]{24,}+"
-#: Weak forms: key ids of 8 characters and more, mixed tokens of 16 and more, addresses with a scheme or a port.
+#: Weak forms: key ids of 8 characters and more, mixed tokens of 16 and more, addresses with a scheme, whole.
 IDENTIFIER = r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AROA|AIDA|GOOG|LTAI)[A-Z0-9]{4,}+"
 TOKEN = r"[A-Za-z0-9+/_-]{16,}+"
-ENDPOINT = r"(?:https?|ftp|amqps?|postgres(?:ql)?|mysql|mongodb|redis|s3)://[A-Za-z0-9.-]++(?::[0-9]++)?+"
+ENDPOINT = r"(?:https?|ftp|amqps?|postgres(?:ql)?|mysql|mongodb|redis|s3)://[A-Za-z0-9.-]++(?::[0-9]++)?+(?:[/?#][^\s\"'<>]*+)?+"
 
 
 def _value(s: Column) -> Column:
@@ -74,7 +79,7 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def linked_parts(scan: DataFrame, scope: int = 200) -> DataFrame:
-    """key, part, start, end of the weak parts that have their complements within scope characters."""
+    """key, part, start, end of the weak parts that have their complements near (see above)."""
     strong = {"identifier": F.col("b_access"), "secret": F.concat("b_assign", "b_hex"), "endpoint": F.array().cast("array<struct<start:int,end:int>>")}
 
     def listed(part: str, spans: Column, weak: bool) -> Column:
@@ -83,32 +88,32 @@ def linked_parts(scan: DataFrame, scope: int = 200) -> DataFrame:
     every = F.concat(*[c for p in PARTS for c in (listed(p, F.col(f"p_{p}"), True), listed(p, strong[p], False))])
     # equal texts have equal keys and parts: duplicates merge before anything is joined
     parts = scan.filter("weak").select("key", F.explode(every).alias("x")).select("key", "x.*").distinct()
-    parts = parts.withColumn("bin", F.floor(F.col("start") / scope).cast("int"))
-    bins = parts.groupBy("key", "bin").agg(
-        *[F.min(F.when(F.col("part") == p, F.col("start"))).alias(f"first_{p}") for p in PARTS],
-        *[F.max(F.when(F.col("part") == p, F.col("start"))).alias(f"last_{p}") for p in PARTS],
-    )
-    near = bins.select("key", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("at"), "bin", *[c for c in bins.columns if c[:5] in ("first", "last_")])
-    near = near.groupBy(F.col("key").alias("k"), "at").agg(
-        *[
-            F.max(F.when(F.col("bin") == F.col("at") + side, F.col(c))).alias(f"{c}_{name}")
-            for side, name in ((-1, "left"), (0, "own"), (1, "right"))
-            for p in PARTS
-            for c in (f"first_{p}", f"last_{p}")
-        ]
-    )
-
-    def has(part: str) -> Column:
-        gap = lambda c: F.coalesce(F.abs(F.col(c) - F.col("start")) <= scope, F.lit(False))
-        return gap(f"last_{part}_left") | F.col(f"first_{part}_own").isNotNull() | gap(f"first_{part}_right")
-
-    complete = (
-        ((F.col("part") == "secret") & (has("identifier") | has("endpoint")))
-        | ((F.col("part") == "identifier") & has("secret"))
-        | ((F.col("part") == "endpoint") & has("secret") & has("identifier"))
+    bin_of = lambda c: F.floor(c / scope).cast("int")
+    ends = parts.select("key", "part", F.explode(F.array(*[F.struct(F.lit(side).alias("side"), bin_of(F.col(side)).alias("bin"), F.col(side).alias("at")) for side in ("start", "end")])).alias("x"))
+    of = lambda side, p: F.when((F.col("x.side") == side) & (F.col("part") == p), F.col("x.at"))
+    bins = ends.groupBy(F.col("key").alias("k"), F.col("x.bin").alias("b")).agg(
+        *[f(of(side, p)).alias(f"{name}_{side}_{p}") for p in PARTS for side in ("start", "end") for name, f in (("first", F.min), ("last", F.max))]
     )
-    weak = parts.filter("weak").join(near, (F.col("key") == F.col("k")) & (F.col("bin") == F.col("at")))
-    return weak.filter(complete).select("key", "part", "start", "end")
+    end, start = bin_of(F.col("end")), bin_of(F.col("start"))
+    asked = [("begins", end), ("begins_next", end + 1), ("ends", start), ("ends_before", start - 1)]
+    looks = parts.filter("weak").select("key", "part", "start", "end", F.explode(F.array(*[F.struct(F.lit(what).alias("what"), at.alias("at")) for what, at in asked])).alias("q"))
+    what = F.col("q.what")
+
+    def near(p: str) -> Column:
+        return (
+            F.when(what == "begins", F.col(f"last_start_{p}") >= F.col("end"))
+            .when(what == "begins_next", F.col(f"first_start_{p}") - F.col("end") <= scope)
+            .when(what == "ends", F.col(f"first_end_{p}") <= F.col("start"))
+            .otherwise(F.col("start") - F.col(f"last_end_{p}") <= scope)
+        )
+
+    met = looks.join(bins, (F.col("key") == F.col("k")) & (F.col("q.at") == F.col("b"))).groupBy("key", "part", "start", "end")
+    met = met.agg(*[F.coalesce(F.bool_or(near(p)), F.lit(False)).alias(f"near_{p}") for p in PARTS])
+    needs = {"secret": F.col("near_identifier"), "identifier": F.col("near_secret"), "endpoint": F.col("near_secret") & F.col("near_identifier")}
+    complete = F.lit(False)
+    for p in PARTS:
+        complete = complete | ((F.col("part") == p) & needs[p])
+    return met.filter(complete).select("key", "part", "start", "end")
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 200) -> DataFrame:

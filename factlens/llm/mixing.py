@@ -1,14 +1,14 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Each source gets a target of words (`targets`). A document's expected number of copies is the target
-over the source's words, times its weight if weights are given, and at most `max_copies`. Its whole
-copies are certain; the fraction left over is its inclusion probability p. Documents are ranked by
-random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p)), with u a hash of the id, and the
-lowest ranks get one copy more until the source's remaining words are reached: a sample of fixed size
-with unequal probabilities, the same in every run.
-
-The cut is found without sorting a source: words are summed in 8192 bins of the log rank, which gives
-the bin with the cut; only that bin's rows (under a thousandth of a source) are sorted.
+Each source gets a target of words (`targets`). A document has a weight (by default 1, 2 or 3 for a text of under 100,
+under 1000, or more words: long texts are worth more), and its expected number of copies is its weight times a rate, at
+most `max_copies`; the rate of a source is the one with which the expected words are its target. Whole copies are
+certain; the fraction left over is the inclusion probability p. Documents are ranked by random odds over inclusion odds,
+(u / (1 - u)) / (p / (1 - p)), with u a hash of the id, and the lowest ranks get one copy more until the source's
+remaining words are reached: a sample of fixed size with unequal probabilities, the same in every run.
+
+The cut is found without sorting a source: words are summed in 8192 bins of the log rank, which gives the bin with the
+cut; that bin is cut into 4096 again, and only the rows of one such piece (about a millionth of a source) are sorted.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from factlens.llm.store import written
 
 #: A table of at most so many sources is broadcast; above it, the join is left to the planner.
 BROADCAST_SOURCES = 50_000
-BINS_PER_UNIT, EDGE = 256, 16
+BINS_PER_UNIT, EDGE, PIECES = 256, 16, 4096
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, max_copies: float = 2.0) -> DataFrame:
@@ -47,6 +47,27 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: f
     )
 
 
+def size_weight(size: Column) -> Column:
+    """The default weight of a document by its words: 1, from 100 words on 2, from 1000 on 3."""
+    return F.when(size >= 1000, 3.0).when(size >= 100, 2.0).otherwise(1.0)
+
+
+def rates(masses: DataFrame, per_source: DataFrame, max_copies: float) -> DataFrame:
+    """masses(source, weight, words), per_source(source, source_size, target) -> per_source with rate.
+
+    The rate solves sum of words * least(max_copies, rate * weight) = target: as in `targets`, weights from the highest
+    down reach the cap, and the rate is the largest of (target - caps so far) / (words * weight left).
+    """
+    held = masses.filter("weight > 0 AND words > 0").join(per_source, F.col("source").eqNullSafe(F.col("s")))
+    source = Window.partitionBy("s")
+    before = source.orderBy(F.col("weight").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    capped = F.coalesce(F.sum(F.col("words") * F.lit(float(max_copies))).over(before), F.lit(0.0))
+    pull = F.col("words") * F.col("weight")
+    left = F.sum(pull).over(source) - F.coalesce(F.sum(pull).over(before), F.lit(0.0))
+    solved = held.withColumn("rate", (F.col("target") - capped) / left).groupBy(F.col("s").alias("s1")).agg(F.max("rate").alias("rate"))
+    return per_source.join(solved, F.col("s").eqNullSafe(F.col("s1")), "left").select(F.col("s").alias("source"), "source_size", "target", "rate")
+
+
 def _ranked(docs: DataFrame, expected: Column, max_copies: float) -> DataFrame:
     """Adds whole copies, inclusion probability p, rank q and its bin, from u and the expected copies."""
     e = F.least(F.coalesce(expected, F.lit(0.0)), F.lit(float(max_copies)))
@@ -55,9 +76,9 @@ def _ranked(docs: DataFrame, expected: Column, max_copies: float) -> DataFrame:
         docs.withColumn("__whole", whole.cast("long"))
         .withColumn("__p", F.greatest(e - whole, F.lit(0.0)))
         .withColumn("__q", F.when(F.col("__p") > 0, (F.col("__u") / (1 - F.col("__u"))) / (F.col("__p") / (1 - F.col("__p")))))
-        .withColumn(
-            "__bin", F.when(F.col("__p") > 0, F.floor(F.greatest(F.lit(-EDGE), F.least(F.lit(EDGE), F.log("__q"))) * BINS_PER_UNIT).cast("int"))
-        )
+        .withColumn("__at", F.when(F.col("__p") > 0, F.greatest(F.lit(-EDGE), F.least(F.lit(EDGE), F.log("__q"))) * BINS_PER_UNIT))
+        .withColumn("__bin", F.floor("__at").cast("int"))
+        .withColumn("__piece", F.least(F.floor((F.col("__at") - F.col("__bin")) * PIECES), F.lit(PIECES - 1)).cast("int"))
     )
 
 
@@ -66,47 +87,45 @@ def _with_keys(docs: DataFrame, id_col: str, text_col: str, source_col: str, wei
         docs.withColumn("__id", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
         .withColumn("__source", F.col(source_col))
         .withColumn("__size", T.n_words(F.col(text_col)))
-        .withColumn("__weight", F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)) if weight_col else F.lit(1.0))
+        .withColumn("__weight", F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight_col else size_weight(F.col("__size")))
         .withColumn("__u", T.unit_hash(F.col(id_col), seed))
     )
 
 
+def _cut(sums: DataFrame, place: str) -> DataFrame:
+    """sums(source, <place>, words, room) -> source, cut (the place whose words reach the room), room (left inside it)."""
+    in_order = Window.partitionBy("source").orderBy(place)
+    reached = sums.withColumn("before", F.sum("words").over(in_order) - F.col("words"))
+    reached = reached.filter((F.col("before") < F.col("room")) & (F.col("before") + F.col("words") >= F.col("room")))
+    return reached.groupBy("source").agg(F.min(F.struct(place, "before", "room")).alias("c")).select("source", F.col(f"c.{place}").alias("cut"), (F.col("c.room") - F.col("c.before")).alias("room"))
+
+
 def plan(keyed: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_copies: float = 2.0) -> DataFrame:
     """One row a source: its size, target, copies per unit of weight, and the cut in rank order."""
-    totals = keyed.groupBy(F.col("__source").alias("source")).agg(
-        F.sum("__size").alias("source_size"), F.sum(F.col("__size") * F.col("__weight")).alias("mass")
-    )
-    totals = written(totals, "mix-totals")
-    per_source = written(
-        targets(totals.select("source", "source_size"), weights, share, max_copies)
-        .join(totals.select(F.col("source").alias("s"), "mass"), F.col("source").eqNullSafe(F.col("s")))
-        .select("source", "source_size", "target", F.when(F.col("mass") > 0, F.col("target") / F.col("mass")).alias("rate")),
-        "mix-targets",
-    )
+    masses = written(keyed.groupBy(F.col("__source").alias("source"), F.col("__weight").alias("weight")).agg(F.sum("__size").alias("words")), "mix-masses")
+    totals = targets(masses.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_copies)
+    per_source = written(rates(masses, totals.withColumnRenamed("source", "s"), max_copies), "mix-targets")
     ranked = _ranked(_attached(keyed, per_source), F.col("rate") * F.col("__weight"), max_copies)
     bins = ranked.groupBy(F.col("__source").alias("source"), F.col("__bin").alias("bin")).agg(
         F.sum("__size").alias("words"), F.sum(F.col("__size") * F.col("__whole")).alias("certain")
     )
-    by_bin = Window.partitionBy("source").orderBy(F.col("bin").asc_nulls_last())
-    whole_source = Window.partitionBy("source")
     summed = (
         bins.join(per_source.select(F.col("source").alias("s"), "target"), F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("rest", F.col("target") - F.sum("certain").over(whole_source))
+        .withColumn("room", F.col("target") - F.sum("certain").over(Window.partitionBy("source")))
         .filter(F.col("bin").isNotNull())
-        .withColumn("before", F.sum("words").over(by_bin) - F.col("words"))
+        .select("source", "bin", "words", "room")
     )
-    cut_bins = written(
-        summed.filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest")))
-        .groupBy("source")
-        .agg(F.min(F.struct("bin", "before", "rest")).alias("c"))
-        .select("source", F.col("c.bin").alias("cut_bin"), (F.col("c.rest") - F.col("c.before")).alias("room")),
-        "mix-bins",
-    )
-    # rows of the cut's bin only; equal ranks and ids go together
+    summed = written(summed, "mix-bins")
+    cut_bins = written(_cut(summed, "bin").withColumnRenamed("cut", "cut_bin"), "mix-cut-bins")
+    # the cut's bin again, in pieces; then the rows of one piece, where equal ranks and ids go together
+    bare = ranked.drop("source", "source_size", "target", "rate")
+    inner = _attached(bare, cut_bins).filter(F.col("__bin") == F.col("cut_bin")).select("source", "cut_bin", "room", "__piece", "__q", "__id", "__size")
+    pieces = inner.groupBy("source", "room", F.col("__piece").alias("piece")).agg(F.sum("__size").alias("words"))
+    cut_pieces = written(_cut(pieces, "piece").withColumnRenamed("cut", "cut_piece"), "mix-cut-pieces")
     close = (
-        _attached(ranked.drop("source", "source_size", "target", "rate"), cut_bins)
-        .filter(F.col("__bin") == F.col("cut_bin"))
-        .groupBy("source", "cut_bin", "room", "__q", "__id")
+        _attached(inner.drop("room").withColumnRenamed("source", "__source"), cut_pieces)
+        .filter(F.col("__piece") == F.col("cut_piece"))
+        .groupBy("source", "room", "__q", "__id")
         .agg(F.sum("__size").alias("words"))
     )
     in_order = Window.partitionBy("source").orderBy("__q", "__id").rowsBetween(Window.unboundedPreceding, -1)
@@ -116,12 +135,14 @@ def plan(keyed: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_copies: fl
         .groupBy("source")
         .agg(F.max(F.struct(F.col("__q").alias("q"), F.col("__id").alias("id"))).alias("cut"))
     )
-    short = summed.groupBy("source").agg(F.max(F.struct("rest")).alias("r"), F.sum("words").alias("w"))
+    short = summed.groupBy("source").agg(F.max("room").alias("room"), F.sum("words").alias("w"))
+    same = lambda other: F.col("source").eqNullSafe(F.col(other))
     return written(
-        per_source.join(cut_bins.select(F.col("source").alias("s1"), "cut_bin"), F.col("source").eqNullSafe(F.col("s1")), "left")
-        .join(cuts.select(F.col("source").alias("s2"), "cut"), F.col("source").eqNullSafe(F.col("s2")), "left")
-        .join(short.select(F.col("source").alias("s3"), (F.col("r.rest") > F.col("w")).alias("all_in")), F.col("source").eqNullSafe(F.col("s3")), "left")
-        .select("source", "source_size", "target", "rate", "cut_bin", "cut", F.coalesce("all_in", F.lit(False)).alias("all_in")),
+        per_source.join(cut_bins.select(F.col("source").alias("s1"), "cut_bin"), same("s1"), "left")
+        .join(cut_pieces.select(F.col("source").alias("s2"), "cut_piece"), same("s2"), "left")
+        .join(cuts.select(F.col("source").alias("s3"), "cut"), same("s3"), "left")
+        .join(short.select(F.col("source").alias("s4"), (F.col("room") > F.col("w")).alias("all_in")), same("s4"), "left")
+        .select("source", "source_size", "target", "rate", "cut_bin", "cut_piece", "cut", F.coalesce("all_in", F.lit(False)).alias("all_in")),
         "mix-plan",
     )
 
@@ -133,11 +154,9 @@ def _attached(keyed: DataFrame, per_source: DataFrame) -> DataFrame:
 
 def _copies(keyed: DataFrame, planned: DataFrame, max_copies: float) -> DataFrame:
     ranked = _ranked(_attached(keyed, planned), F.col("rate") * F.col("__weight"), max_copies)
-    inside = (
-        F.col("all_in")
-        | (F.col("__bin") < F.col("cut_bin"))
-        | ((F.col("__bin") == F.col("cut_bin")) & (F.struct(F.col("__q").alias("q"), F.col("__id").alias("id")) <= F.col("cut")))
-    )
+    at_cut = F.struct(F.col("__q").alias("q"), F.col("__id").alias("id")) <= F.col("cut")
+    in_bin = (F.col("__piece") < F.col("cut_piece")) | ((F.col("__piece") == F.col("cut_piece")) & F.coalesce(at_cut, F.lit(False)))
+    inside = F.col("all_in") | (F.col("__bin") < F.col("cut_bin")) | ((F.col("__bin") == F.col("cut_bin")) & in_bin)
     extra = F.when((F.col("__p") > 0) & F.coalesce(inside, F.lit(False)), F.lit(1)).otherwise(F.lit(0))
     return ranked.withColumn("__copies", F.col("__whole") + extra)
 

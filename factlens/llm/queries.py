@@ -64,9 +64,9 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op8_mixing",
     rf"""
     WITH d AS (
-      SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), '') AS id, len({_WORDS_SQL}) AS size,
+      SELECT *, CASE WHEN size >= 1000 THEN 3.0::DOUBLE WHEN size >= 100 THEN 2 ELSE 1 END AS weight FROM (SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), '') AS id, len({_WORDS_SQL}) AS size,
         (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':17'), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
-      FROM documents),
+      FROM documents)),
     s AS (SELECT source, sum(size)::DOUBLE AS source_size FROM d GROUP BY source),
     w AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
     l AS (
@@ -74,9 +74,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level
       FROM w WINDOW o AS (ORDER BY 2 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     t AS (SELECT source, source_size, least(2 * source_size, weight * max(level) OVER ()) AS target FROM l),
-    e AS (
-      SELECT d.*, source_size, target, floor(target / source_size + 1e-9) AS whole, greatest(target / source_size - floor(target / source_size + 1e-9), 0) AS p
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+    m AS (SELECT source, weight, sum(size)::DOUBLE AS words FROM d WHERE size > 0 GROUP BY source, weight),
+    n AS (
+      SELECT m.source, (target - coalesce(sum(2 * words) OVER h, 0)) / (sum(words * weight) OVER (PARTITION BY m.source) - coalesce(sum(words * weight) OVER h, 0)) AS rate
+      FROM m JOIN t ON m.source IS NOT DISTINCT FROM t.source WINDOW h AS (PARTITION BY m.source ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    c AS (SELECT source, max(rate) AS rate FROM n GROUP BY source),
+    x AS (
+      SELECT d.*, source_size, target, least(coalesce(rate * weight, 0), 2) AS copies
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source),
+    e AS (SELECT *, floor(copies + 1e-9) AS whole, greatest(copies - floor(copies + 1e-9), 0) AS p FROM x),
     q AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM e),
     r AS (
       SELECT *, target - sum(size * whole) OVER (PARTITION BY source) AS rest,

@@ -175,11 +175,34 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op5_url_filters")
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are taken for pages of the same number. In the test tables they are labels of documents and say nothing
+    about addresses, so no combination reaches the confidence there; planted_url_rules has labels that do."""
     labels = _table(spark, sf_dir, "labels")
     bad = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     return urls.judge(_table(spark, sf_dir, "pages"), bad).drop("mined")
 
 
+@_query(
+    "planted_url_rules",
+    """
+    SELECT o_orderkey AS page_id, 'h' || (o_orderkey % 7) || '.site' || (o_orderkey % 5) || '.info' AS host, '/p' || (o_orderkey % 11) || '/x' AS path,
+      CAST(NULL AS VARCHAR) AS rule, CASE WHEN o_orderkey % 7 = 3 AND o_orderkey % 11 = 4 THEN 'block' ELSE 'allow' END AS verdict,
+      o_orderkey % 7 = 3 AND o_orderkey % 11 = 4 AS mined
+    FROM orders
+    """,
+)
+def planted_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of orders with 25 tracking keys; bad are those with one host label and one path segment, and only even
+    ones have labels: the mined rule must be this pair, and block the odd ones too."""
+    k = F.col("o_orderkey")
+    part = lambda n: (k % n).cast("string")
+    keys = "&".join(f"utm{i}=1" for i in range(25))
+    url = F.concat(F.lit("http://h"), part(7), F.lit(".site"), part(5), F.lit(".info/p"), part(11), F.lit(f"/x?{keys}&q"), part(3), F.lit("=1"))
+    pages = _table(spark, sf_dir, "orders").select(k.alias("page_id"), url.alias("url"))
+    bad = _table(spark, sf_dir, "orders").filter(k % 2 == 0).select(k.alias("page_id"), ((k % 7 == 3) & (k % 11 == 4)).alias("bad"))
+    return urls.judge(pages, bad)
+
+
 @_query("op2_packing")
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -316,6 +317,26 @@ def test_rules_need_the_same_count_in_large_tables(spark):
     assert mined(1000) == mined(30_000) == [("site:bad.info",)]
 
 
+def test_many_tokens_of_one_template_cost_no_more(spark):
+    rng = random.Random(7)
+    keys = [f"key:{i}" for i in range(24)]
+    rows = [(["host:t", *keys], True)] * 60 + [(["host:t", *rng.sample(keys, 20)], rng.random() < 0.7) for _ in range(200)]
+    rows += [([f"host:{i % 40}", "path:a" if i % 3 else "path:b"], i % 40 == 7 and i % 3 == 0) for i in range(4800)]
+    df = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    began = time.perf_counter()
+    rules = urls.mined_rules(df, max_items=8).collect()
+    assert time.perf_counter() - began < 60
+    found = {tuple(r["tokens"]) for r in rules}
+    assert ("host:7", "path:b") in found and ("host:t",) in found
+    plain = {t: [b for ts, b in rows if t in ts] for t in ["host:t", *keys]}
+    assert {r["tokens"][0]: r["confidence"] for r in rules if r["n_tokens"] == 1} == {t: sum(b) / len(b) for t, b in plain.items()}
+    same = spark.createDataFrame([(["a", "b", "c"], True)] * 30 + [(["a", "b", "c"], False)] * 5 + [(["d"], False)] * 30, "tokens array<string>, bad boolean")
+    rules = urls.mined_rules(same)
+    assert [(r["tokens"], r["any_of"]) for r in rules.collect()] == [(["a"], [["a", "b", "c"]])]
+    asked = spark.createDataFrame([(1, ["c"]), (2, ["d"]), (3, ["b", "z"])], "key long, tokens array<string>")
+    assert {r["key"] for r in urls.blocked(asked, rules).collect()} == {1, 3}
+
+
 def test_unit_hash_is_a_plain_md5(spark):
     got = spark.createDataFrame([(5,), (None,)], "v long").select(T.unit_hash(F.col("v"), 17).alias("u")).collect()
     want = [(int(hashlib.md5(f"{v}:17".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for v in ("5", "")]

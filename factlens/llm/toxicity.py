@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from factlens.llm.store import bounded_sample, ship
+from factlens.llm.store import bounded_sample, ship, written
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -158,11 +158,14 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_positive: int, max_n
     if not picks:
         return [], [], 0.0
     chosen = spark.createDataFrame([(r["doc_id"], r["toxic"], r["h"]) for r in picks], "d long, toxic int, h long")
-    rows = docs.filter(F.col("text").isNotNull()).join(F.broadcast(chosen), F.col("doc_id") == F.col("d")).select("h", "toxic", "text")
+    rows = docs.filter(F.col("text").isNotNull()).join(F.broadcast(chosen), F.col("doc_id") == F.col("d"))
+    # sizes alone decide what fits; whole texts are fetched after that
     size = F.octet_length("text").cast("long")
-    rows = rows.withColumn("long", F.when(size > max_bytes // 64, size).otherwise(F.lit(0)))
-    order = Window.orderBy("long", "h", "toxic").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("bytes", F.sum(size).over(order)).filter(F.col("bytes") <= max_bytes).select("toxic", "text").collect()
+    sizes = rows.select("doc_id", "h", "toxic", size.alias("size")).groupBy("doc_id", "h", "toxic").agg(F.sum("size").alias("size"))
+    sizes = sizes.withColumn("long", F.when(F.col("size") > max_bytes // 64, F.col("size")).otherwise(F.lit(0)))
+    order = Window.orderBy("long", "h", "toxic").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a number a picked id
+    fits = written(sizes.withColumn("bytes", F.sum("size").over(order)).filter(F.col("bytes") <= max_bytes).select(F.col("doc_id").alias("fit")), "toxic-fits")
+    rows = rows.join(F.broadcast(fits), F.col("doc_id") == F.col("fit"), "left_semi").select("toxic", "text").collect()  # max_bytes of text at most
     return [r["text"] for r in rows], [r["toxic"] for r in rows], float(share)
 
 

@@ -2,16 +2,23 @@
 
 Each distinct shingle set has 128 minwise values. A tree's node picks a few of the positions (each with
 probability 1 / (threshold * 128), by a hash of the node), and sends every set to the children named by its values
-there: similar sets stay together, others part. Nodes with up to 3 `node_limit` sets in a range of sizes are compared
-exhaustively with 8-bit sketches, in a window of the sizes that can be similar; more crowded ones branch again, and what
-is still crowded at the last level is compared in pairs of blocks, so no partner is ever left out for size. Independent trees repeat this: at the threshold a pair survives k
-levels of a tree with probability of at least 1 / (k + 1), and meets in the first level of 24 trees (30 nodes) with
-1 - 0.2^30. The sketch test lets through what lies within 5 standard deviations of the threshold.
-
-Equal sets are one element from the start. A node yields a spanning forest of the pairs that its sketches allow (a
-crowded one stars around the first of each size range, and branches only between different clusters), never all of its
-pairs. The clusters that these edges make are then confirmed on full sets: a cluster's texts meet once, in blocks of a
-bounded number of shingles, where an exact prefix-filtered join finds the true links. So copies cost a link each.
+there: similar sets stay together, others part. Independent trees repeat this: at the threshold a pair meets in the
+first level of 24 trees (30 nodes) with 1 - 0.2^30, and survives k levels of a tree with at least 1 / (k + 1).
+
+Nodes of up to `node_limit` sets are compared exhaustively with 8-bit sketches. Larger ones are dealt into ranges of
+sizes (ends 1 / threshold apart); a set visits the next range too, so that every pair that can be similar meets in one of
+bounded size. A node with over `node_limit` sets in one range is crowded: there the smallest set of each range, its hub,
+is compared with the others, dealt out evenly. What matches makes clusters. What doesn't match, a stray, is then compared
+exhaustively with the whole clusters of the hubs that it met and with their other strays; a cluster is dealt into parts
+for this, once, however many nodes it crowds. Only nodes whose hubs' clusters have over `node_limit` strays in a range
+branch on, into their children; at the last level, they are compared in pairs of blocks. So no partner is ever left out
+for size, and no task holds more than a few times `node_limit` sets. The sketch test lets through what lies within 5
+standard deviations of the threshold.
+
+Equal sets are one element from the start. A node yields a spanning forest of the pairs that its sketches allow, never
+all of its pairs. The clusters that these edges make are then confirmed on full sets: a cluster's texts meet once, in
+blocks of a bounded number of shingles, where an exact prefix-filtered join finds the true links. So copies cost a link
+each. Sets are of 64-bit hashes of shingles, and equal sets are told by 128 bits.
 """
 
 from __future__ import annotations
@@ -74,11 +81,11 @@ def _root_keys(roots: list[tuple[int, int]]):
         for b in batches:
             if not b.num_rows:
                 continue
-            sig = _fixed(b.column(1), 4 * T_VALUES, np.uint32)
-            rep = np.asarray(b.column(0))
+            sig = _fixed(b.column(2), 4 * T_VALUES, np.uint32)
+            rep, n = np.asarray(b.column(0)), np.asarray(b.column(1))
             salt = S.mix(np.array([tree * 1_000_003 + i + 1 for tree, i in roots], _U))
             keys = S.mix(sig[:, [i for _, i in roots]].astype(_U) + salt[None, :])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(rep, len(roots)))], ["key", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(rep, len(roots))), pa.array(np.repeat(n, len(roots)))], ["key", "rep", "n"])
 
     return run
 
@@ -91,13 +98,13 @@ def _child_keys(threshold: float):
         for b in batches:
             if not b.num_rows:
                 continue
-            key, rep = np.asarray(b.column(0)).view(_U), np.asarray(b.column(1))
-            comp, sig = np.asarray(b.column(2)), _fixed(b.column(3), 4 * T_VALUES, np.uint32)
+            key, rep, n, comp = (np.asarray(b.column(i)) for i in range(4))
+            key, sig = key.view(_U), _fixed(b.column(4), 4 * T_VALUES, np.uint32)
             picks = S.mix(key[:, None] ^ at[None, :]) < most
             picks[~picks.any(axis=1), 0] = True
             row, i = np.nonzero(picks)
             child = S.mix(S.mix(key[row] + _U(0x9E3779B97F4A7C15)) ^ S.mix(at[i] + sig[row, i]))
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(rep[row]), pa.array(comp[row])], ["key", "rep", "comp"])
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(rep[row]), pa.array(n[row]), pa.array(comp[row])], ["key", "rep", "n", "comp"])
 
     return run
 
@@ -124,53 +131,16 @@ def _forest(ids, comp, near):
     return out
 
 
-class _Window:
-    """A node streamed by size: each set meets those before it that are large enough, which are kept; others leave."""
-
-    def __init__(self, key, least: int, percent: int):
-        self.key, self.least, self.percent, self.labels = key, least, percent, 0
-        self.rep = self.comp = self.n = self.label = np.empty(0, np.int64)
-        self.sketch = np.empty((0, T_VALUES), np.uint8)
-
-    def add(self, rep, comp, n, sketch) -> list[tuple[int, int]]:
-        """Edges of the next rows (in order of n); within the window one per pair of groups that it joins."""
-        edges = []
-        for i in range(0, len(rep), 32):
-            part = slice(i, i + 32)
-            stay = 100 * self.n >= self.percent * n[part][0]
-            k = int(stay.sum())
-            fresh = len(rep[part])
-            _, same = np.unique(np.r_[self.comp[stay], comp[part]], return_inverse=True)
-            label = np.r_[self.label[stay], self.labels + np.arange(fresh)]
-            self.labels += fresh
-            self.rep, self.comp, self.n = np.r_[self.rep[stay], rep[part]], np.r_[self.comp[stay], comp[part]], np.r_[self.n[stay], n[part]]
-            self.sketch = np.concatenate([self.sketch[stay], sketch[part]])
-            near = (self.sketch[k:, None, :] == self.sketch[None, :, :]).sum(axis=2, dtype=np.int16) >= self.least
-            near &= (100 * self.n[None, :] >= self.percent * self.n[k:, None]) & (np.arange(len(self.n))[None, :] < k + np.arange(fresh)[:, None])
-            for r in range(fresh):
-                at = k + r
-                twins = np.flatnonzero(same[:at] == same[at])
-                if len(twins):
-                    label[at] = label[twins[0]]
-                hits = np.flatnonzero(near[r])
-                if len(hits):
-                    joined, first = np.unique(label[hits], return_index=True)
-                    edges += [(int(self.rep[at]), int(self.rep[hits[f]])) for g, f in zip(joined, first, strict=True) if g != label[at]]
-                    label[np.isin(label, joined)] = label[at]
-            self.label = label
-        return edges
-
-
 def _compared(least: int, percent: int):
-    """Rows (key, rep, comp, mode, n, sketch) sorted by key, n and rep -> edges (u, v) that sketches and sizes allow.
+    """Rows (node, rep, comp, n, visiting, origin, sketch) sorted by node, n and rep -> (u, v, key).
 
-    Mode 0, a small node, is held and gives a spanning forest over its components. Mode 1, a large one, is streamed
-    through a window of sizes. Mode 2, one with too many sets of about one size, isn't compared: its rows meet the
-    first row of their range of sizes as they pass. A node is complete when the next key begins.
+    Where origin is null, the node is compared exhaustively, but for visitors with visitors, and gives the edges (u, v) of
+    a spanning forest over its components. Otherwise its first row is the hub of (a part of) a range of the crowded node
+    `origin`: rows that match it give an edge, the others are strays: (rep, null, origin).
     """
 
-    def small(rep, comp, n, sketch):
-        if len(rep) < 2 or (comp == comp[0]).all():
+    def exhaustive(rep, comp, n, visiting, sketch):
+        if len(rep) < 2 or (comp == comp[0]).all() or visiting.all():
             return []
         near = np.empty((len(rep), len(rep)), bool)
         for i in range(0, len(rep), 32):
@@ -178,64 +148,74 @@ def _compared(least: int, percent: int):
             near[rows] = (sketch[rows, None, :] == sketch[None, :, :]).sum(axis=2, dtype=np.int16) >= least
             near[rows] &= (100 * n[rows, None] >= percent * n[None, :]) & (100 * n[None, :] >= percent * n[rows, None])
         np.fill_diagonal(near, False)
+        if visiting.any():
+            near[np.ix_(visiting, visiting)] = False
         return _forest(rep.tolist(), comp, near)
 
     def run(batches):
-        hub = None  # of a crowded node: its key, and rep, comp, n and sketch of the first row of the range
-        window = None  # of a large node
-        rest = None  # rows of a small node that may go on in the next batch
+        hub = None  # node, rep, comp, n and sketch of the first row of a part of a crowded range
+        rest = None  # rows of a node that may go on in the next batch
         for b in batches:
             if not b.num_rows:
                 continue
-            key, rep, comp, mode, n = (np.asarray(b.column(i)) for i in range(5))
-            sketch = _fixed(b.column(5), T_VALUES, np.uint8)
+            node, rep, comp, n, visiting = (np.asarray(b.column(i)) for i in range(5))
+            origin, crowded = b.column(5), np.asarray(b.column(5).is_valid())
+            visiting = visiting.astype(bool)
+            sketch = _fixed(b.column(6), T_VALUES, np.uint8)
             edges: list[tuple[int, int]] = []
-            cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            ends = np.r_[cuts[1:], len(key)]
+            strays: list[tuple[int, int]] = []
+            cuts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+            ends = np.r_[cuts[1:], len(node)]
             twos = []
             for lo, hi in zip(cuts.tolist(), ends.tolist(), strict=True):
-                if mode[lo] == 1:
-                    if window is None or window.key != key[lo]:
-                        window = _Window(key[lo], least, percent)
-                    edges += window.add(rep[lo:hi], comp[lo:hi], n[lo:hi], sketch[lo:hi])
+                if crowded[lo]:
+                    if hub is None or hub[0] != node[lo]:
+                        hub = (node[lo], int(rep[lo]), comp[lo], n[lo], sketch[lo].copy())
+                    key = origin[lo].as_py()
+                    near = ((sketch[lo:hi] == hub[4][None, :]).sum(axis=1) >= least) & (100 * hub[3] >= percent * n[lo:hi])
+                    joined = comp[lo:hi] == hub[2]
+                    edges += [(hub[1], int(x)) for x in rep[lo:hi][near & ~joined]]
+                    strays += [(int(x), key) for x in rep[lo:hi][~near & ~joined]]
                     continue
-                if mode[lo] == 2:
-                    at = lo
-                    while at < hi:
-                        if hub is None or hub[0] != key[at] or 100 * hub[3] < percent * n[at]:
-                            hub = (key[at], rep[at], comp[at], n[at], sketch[at].copy())
-                        stop = at + int(np.searchsorted(n[at:hi] * percent, 100 * hub[3], side="right"))
-                        ok = ((sketch[at:stop] == hub[4][None, :]).sum(axis=1) >= least) & (comp[at:stop] != hub[2])
-                        edges += [(int(hub[1]), int(x)) for x in rep[at:stop][ok]]
-                        at = stop
-                    continue
-                if rest is not None and rest[0] == key[lo]:
-                    rest = (rest[0], *(np.concatenate(p) for p in zip(rest[1:], (rep[lo:hi], comp[lo:hi], n[lo:hi], sketch[lo:hi]), strict=True)))
-                    if hi < len(key):
-                        edges += small(*rest[1:])
+                part = (rep[lo:hi], comp[lo:hi], n[lo:hi], visiting[lo:hi], sketch[lo:hi])
+                if rest is not None and rest[0] == node[lo]:
+                    rest = (rest[0], *(np.concatenate(p) for p in zip(rest[1:], part, strict=True)))
+                    if hi < len(node):
+                        edges += exhaustive(*rest[1:])
                         rest = None
                     continue
                 if rest is not None:
-                    edges += small(*rest[1:])
+                    edges += exhaustive(*rest[1:])
                     rest = None
-                if hi == len(key):
-                    rest = (key[lo], rep[lo:hi].copy(), comp[lo:hi].copy(), n[lo:hi].copy(), sketch[lo:hi].copy())
+                if hi == len(node):
+                    rest = (node[lo], *(x.copy() for x in part))
                 elif hi - lo == 2:
                     twos.append(lo)
                 elif hi - lo > 2:
-                    edges += small(rep[lo:hi], comp[lo:hi], n[lo:hi], sketch[lo:hi])
+                    edges += exhaustive(*part)
             if twos:
                 i = np.array(twos)
                 ok = ((sketch[i] == sketch[i + 1]).sum(axis=1) >= least) & (comp[i] != comp[i + 1]) & (100 * n[i] >= percent * n[i + 1])
+                ok &= ~(visiting[i] & visiting[i + 1])
                 edges += list(zip(rep[i][ok].tolist(), rep[i + 1][ok].tolist(), strict=True))
             if edges:
-                yield _pair_batch(edges)
-        if rest is not None and (edges := small(*rest[1:])):
-            yield _pair_batch(edges)
+                yield _found_batch(_ordered(edges))
+            if strays:
+                yield _found_batch([(u, None, key) for u, key in strays])
+        if rest is not None and (edges := exhaustive(*rest[1:])):
+            yield _found_batch(_ordered(edges))
 
     return run
 
 
+def _ordered(pairs):
+    return [(min(p), max(p), None) for p in pairs]
+
+
+def _found_batch(rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["u", "v", "key"])
+
+
 def _pair_batch(pairs) -> pa.RecordBatch:
     p = np.array(pairs, np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(p.min(axis=1)), pa.array(p.max(axis=1))], ["u", "v"])
@@ -345,11 +325,16 @@ def _partitions(spark, least: int = 1) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), least)
 
 
-def _edges(rows: DataFrame, classes: DataFrame, least: int, percent: int) -> DataFrame:
-    """rows(key, rep, comp, mode) -> edges between components within the nodes."""
-    full = rows.join(classes.select("rep", "n", "sketch"), "rep").select("key", "rep", "comp", "mode", "n", "sketch")
-    sorted_ = full.repartition(_partitions(rows.sparkSession), "key").sortWithinPartitions("key", "n", "rep")
-    return sorted_.mapInArrow(_compared(least, percent), "u long, v long").distinct()
+def _few(table: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it is small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _found(dealt: DataFrame, classes: DataFrame, least: int, percent: int) -> DataFrame:
+    """dealt(node, rep, comp, visiting, origin) -> (u, v, key) of _compared."""
+    full = dealt.join(classes.select("rep", "n", "sketch"), "rep").select("node", "rep", "comp", "n", "visiting", "origin", "sketch")
+    sorted_ = full.repartition(_partitions(dealt.sparkSession), "node").sortWithinPartitions("node", "n", "rep")
+    return sorted_.mapInArrow(_compared(least, percent), "u long, v long, key long").distinct()
 
 
 def _sized(rows: DataFrame) -> DataFrame:
@@ -360,22 +345,124 @@ def _sized(rows: DataFrame) -> DataFrame:
     return rows.join(sizes.select("k", "size"), F.col("key") == F.col("k")).drop("k")
 
 
-def _moded(rows: DataFrame, classes: DataFrame, node_limit: int, percent: int) -> DataFrame:
-    """Adds the mode: 0 up to node_limit sets, 2 if over three times as many are of one size range (ends percent apart), else 1."""
-    large = rows.filter(F.col("size") > node_limit).join(classes.select("rep", "n"), "rep")
-    ranges = large.groupBy("key", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).alias("r")).agg(F.count("*").alias("c"))
-    crowded = written(ranges.filter(F.col("c") > 3 * node_limit).select(F.col("key").alias("k")).distinct(), "dup-crowded")
-    few = crowded.count() <= BROADCAST_ROWS
-    mode = F.when(F.col("k").isNotNull(), 2).when(F.col("size") > node_limit, 1).otherwise(0)
-    return rows.join(F.broadcast(crowded) if few else crowded, F.col("key") == F.col("k"), "left").withColumn("mode", mode).drop("k")
+def _range(percent: int):
+    """The range of sizes of n; what can be similar lies in the same or the next one."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")
+
+
+def _ranges(rows: DataFrame, node_limit: int, percent: int) -> DataFrame:
+    """Of nodes with over node_limit sets: key, r, parts, hub (the set of the least size and rep), crowded (the node is)."""
+    large = rows.filter(F.col("size") > node_limit).groupBy("key", _range(percent).alias("r")).agg(F.count("*").alias("c"), F.min(F.struct("n", "rep")).alias("least"))
+    crowded = large.groupBy(F.col("key").alias("k")).agg((F.max("c") > node_limit).alias("crowded"))
+    parts = F.ceil(F.col("c") / node_limit).cast("int").alias("parts")
+    return large.join(crowded, F.col("key") == F.col("k")).select("key", "r", parts, F.col("least.rep").alias("hub"), "crowded")
+
+
+def _dealt(rows: DataFrame, ranges: DataFrame, percent: int) -> DataFrame:
+    """rows(key, rep, n, comp) -> (node, rep, comp, visiting, origin): a small node as it is, of a large one each set in its
+    range and as a visitor in the next; of a crowded one each in a part of its range, and the hub in all parts."""
+    at = ranges.select(F.col("key").alias("k"), F.col("r").alias("at"), "parts", "hub", "crowded")
+    r, none = F.col("r"), F.lit(None).cast("long")
+    place = lambda node, visiting, origin: F.struct(node.alias("node"), F.lit(visiting).alias("visiting"), origin.alias("origin"))
+    mine = F.when(F.col("rep") == F.col("hub"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")))
+    places = (
+        F.when(F.col("k").isNull(), F.array(place(F.col("key"), False, none)))
+        .when(F.col("crowded"), F.transform(mine, lambda p: place(F.xxhash64("key", r, p), False, F.col("key"))))
+        .otherwise(F.array(place(F.xxhash64("key", r), False, none), place(F.xxhash64("key", r + 1), True, none)))
+    )
+    joined = rows.withColumn("r", _range(percent)).join(_few(at), (F.col("key") == F.col("k")) & (r == F.col("at")), "left")
+    return joined.select("rep", "comp", F.explode(places).alias("p")).select("p.node", "rep", "comp", "p.visiting", "p.origin")
+
+
+def _around_clusters(strays: DataFrame, hubs: DataFrame, clusters: DataFrame, classes: DataFrame, node_limit: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """strays(rep, key), hubs(key, r, cluster), clusters(node, component) -> (dealt rows, crowded(cluster)).
+
+    A stray goes to the clusters of its node's hubs in its own range and both neighbours; where hubs of neighbouring ranges
+    are of two clusters, the one's members go to the other. A cluster's members are dealt into parts; strays are in all.
+    """
+    named = F.coalesce("component", "rep").alias("comp")
+    of = classes.select("rep", "n")
+    wide = hubs.select("key", "cluster", F.explode(F.array(F.col("r") - 1, F.col("r"), F.col("r") + 1)).alias("r"))
+    wide = _few(written(wide.distinct(), "dup-hubs"))
+    placed = strays.join(of, "rep").withColumn("r", _range(percent)).join(wide, ["key", "r"]).select("rep", "n", "cluster").distinct()
+    next_ = hubs.select("key", (F.col("r") - 1).alias("r"), F.col("cluster").alias("other"))
+    pairs = hubs.join(next_, ["key", "r"]).filter("cluster <> other").select("cluster", "other").distinct()
+    members = clusters.select(F.col("node").alias("rep"), F.col("component").alias("c")).union(hubs.select("cluster", "cluster")).distinct()
+    needed = _few(written(placed.select("cluster").union(pairs.select("cluster")).distinct(), "dup-needed"))
+    crossing = pairs.join(members, F.col("other") == F.col("c")).select("rep", "cluster").join(of, "rep").select("rep", "n", "cluster")
+    guests = placed.union(crossing).distinct().join(clusters, F.col("rep") == F.col("node"), "left").select("rep", "n", "cluster", named).filter("comp <> cluster")
+    own = members.join(needed, F.col("c") == F.col("cluster")).select("rep", "cluster").join(of, "rep").select("rep", "n", "cluster", F.col("cluster").alias("comp"))
+    rows = written(guests.union(own).withColumn("r", _range(percent)), "dup-around")
+    # a range holds its own rows and the visitors from the one below
+    at = rows.select("rep", "cluster", "comp", F.explode(F.array(F.struct(F.col("r").alias("at"), F.lit(False).alias("visiting")), F.struct((F.col("r") + 1).alias("at"), F.lit(True).alias("visiting")))).alias("p"))
+    at = at.select("rep", "cluster", "comp", "p.at", "p.visiting")
+    mine = F.col("comp") == F.col("cluster")
+    counts = at.groupBy("cluster", "at").agg(F.count_if(mine).alias("own"), F.count_if(~mine & ~F.col("visiting")).alias("guests"))
+    counts = written(counts, "dup-around-counts")
+    crowded = written(counts.filter(F.col("guests") > node_limit).select("cluster").distinct(), "dup-crowded")
+    parts = counts.select(F.col("cluster").alias("k"), F.col("at").alias("a"), F.greatest(F.ceil(F.col("own") / node_limit), F.lit(1)).cast("int").alias("parts"))
+    calm = at.join(_few(crowded), "cluster", "left_anti").join(_few(parts), (F.col("cluster") == F.col("k")) & (F.col("at") == F.col("a")))
+    everywhere = F.sequence(F.lit(0), F.col("parts") - 1)
+    dealt = calm.withColumn("part", F.explode(F.when(mine, F.array(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))).otherwise(everywhere)))
+    none = F.lit(None).cast("long").alias("origin")
+    return dealt.select(F.xxhash64("cluster", "at", "part").alias("node"), "rep", "comp", "visiting", none), crowded
 
 
 def _blocked(rows: DataFrame, node_limit: int) -> DataFrame:
-    """Large last-level nodes as nodes of two blocks each: every pair of blocks, and so every pair, meets once or more."""
-    n = F.ceil(F.col("size") / (node_limit * 2)).cast("int")
+    """Crowded nodes as nodes of two blocks each: every pair of blocks, and so every pair, meets once or more."""
+    n = F.ceil(F.col("size") / node_limit).cast("int")
     own = F.pmod(F.xxhash64("rep"), n).cast("int")
-    other = F.explode(F.sequence(F.lit(0), n - 1))
-    return rows.withColumn("own", own).withColumn("other", other).withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).drop("own", "other")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    node = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("node")
+    return dealt.select(node, "rep", "comp", F.lit(False).alias("visiting"), F.lit(None).cast("long").alias("origin"))
+
+
+def _candidates(classes: DataFrame, trees: int, threshold: float, percent: int, node_limit: int, levels: int, seed: int) -> DataFrame:
+    """Edges (u, v) between classes that the sketches allow; they span the clusters of all such pairs that met."""
+    least = int(T_VALUES * threshold - 5 * (T_VALUES * threshold * (1 - threshold)) ** 0.5)
+    keys = classes.select("rep", F.col("n").cast("int").alias("n"), "sig").mapInArrow(_root_keys(_roots(trees, threshold, seed)), "key long, rep long, n int")
+    nodes, edges = keys.withColumn("comp", F.col("rep")), None
+    for level in range(1, levels + 1):
+        rows = written(_sized(nodes), "dup-nodes")
+        if level == levels:
+            more = _found(_blocked(rows, node_limit), classes, least, percent).select("u", "v")
+            return written(edges.union(more), "dup-edges")
+        ranges = written(_ranges(rows, node_limit, percent), "dup-ranges")
+        found = written(_found(_dealt(rows, ranges, percent), classes, least, percent), "dup-found")
+        met = found.filter("v IS NOT NULL").select("u", "v")
+        edges = met if edges is None else edges.union(met)
+        crowded = ranges.filter("crowded")
+        if crowded.isEmpty():
+            break
+        clusters = written(components(edges), "dup-clusters")
+        hubs = crowded.join(clusters, F.col("hub") == F.col("node"), "left").select("key", "r", F.coalesce("component", "hub").alias("cluster"))
+        hubs = written(hubs, "dup-hubs")
+        strays = found.filter("v IS NULL").select(F.col("u").alias("rep"), "key")
+        dealt, still = _around_clusters(strays, hubs, clusters, classes, node_limit, percent)
+        around = written(_found(dealt, classes, least, percent), "dup-found")
+        edges = edges.union(around.select("u", "v"))
+        if still.isEmpty():
+            break
+        # the nodes of clusters with too many strays branch, each by itself
+        branching = _few(written(hubs.join(_few(still), "cluster").select(F.col("key").alias("k")).distinct(), "dup-branching"))
+        deep = rows.select("key", "rep", "n").join(branching, F.col("key") == F.col("k"), "left_semi").join(classes.select("rep", "sig"), "rep")
+        deep = deep.join(clusters, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"), "sig")
+        if level + 1 == levels:  # what still crowds the last level but one meets in blocks
+            nodes = deep.drop("sig")
+        else:
+            nodes = deep.mapInArrow(_child_keys(threshold), "key long, rep long, n int, comp long").distinct()
+    return edges
+
+
+def _same_id(linkable: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of rows that have one id and different texts."""
+    twice = linkable.groupBy("id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).filter("a <> b").select(F.col("id").alias("i"))
+    twice = written(twice, "dup-ids")
+    if twice.isEmpty():
+        return classes.sparkSession.createDataFrame([], "u long, v long")
+    reps = linkable.join(twice, F.col("id") == F.col("i")).select("id", "set_key").distinct().join(classes.select("set_key", "rep"), "set_key").select("id", "rep")
+    first = reps.groupBy(F.col("id").alias("i")).agg(F.min("rep").alias("u"))
+    return reps.join(first, F.col("id") == F.col("i")).filter("u <> rep").select("u", F.col("rep").alias("v"))
 
 
 def near_duplicates(
@@ -390,37 +477,13 @@ def near_duplicates(
     """
     ship(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    threshold = percent / 100
-    least = int(T_VALUES * threshold - 5 * (T_VALUES * threshold * (1 - threshold)) ** 0.5)
     featured = written(docs.mapInArrow(_featured(shingle, seed), "id long, n long, set_key binary, sig binary"), "dup-sets")
     linkable = featured.filter("n > 0 AND id IS NOT NULL")
     classes = linkable.groupBy("set_key", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")).select("set_key", "rep", "sig", "n")
     classes = written(classes.mapInArrow(_with_sketch, "set_key binary, rep long, sig binary, n long, sketch binary"), "dup-classes")
-
-    keys = classes.select("rep", "sig").mapInArrow(_root_keys(_roots(trees, threshold, seed)), "key long, rep long")
-    rows = written(_sized(keys.withColumn("comp", F.col("rep"))), "dup-nodes")
-    rows = _moded(rows, classes, node_limit, percent)
-    edges = written(_edges(rows.select("key", "rep", "comp", "mode"), classes, least, percent), "dup-edges")
-    clusters = written(components(edges), "dup-clusters")
-    more = None
-    for level in range(2, levels + 1):
-        # crowded nodes with more than one cluster branch; the last level's are compared in blocks
-        deep = rows.filter("mode = 2").select("key", "rep").join(clusters, F.col("rep") == F.col("node"), "left")
-        rows = written(_sized(deep.select("key", "rep", F.coalesce("component", "rep").alias("comp"))), "dup-level")
-        if rows.isEmpty():
-            break
-        if level < levels:
-            branched = rows.select("key", "rep", "comp").join(classes.select("rep", "sig"), "rep").select("key", "rep", "comp", "sig")
-            rows = written(_sized(branched.mapInArrow(_child_keys(threshold), "key long, rep long, comp long").distinct()), "dup-level")
-            rows = _moded(rows, classes, node_limit, percent)
-            found = _edges(rows.select("key", "rep", "comp", "mode"), classes, least, percent)
-        else:
-            found = _edges(_blocked(rows, node_limit).select("key", "rep", "comp", F.lit(1).alias("mode")), classes, least, percent)
-        more = written(found if more is None else more.union(found), "dup-edges")
-    if more is not None and not more.isEmpty():
-        clusters = written(components(edges.union(more)), "dup-clusters")
+    clusters = written(components(_candidates(classes, trees, percent / 100, percent, node_limit, levels, seed)), "dup-clusters")
     links = written(_confirm(clusters, classes, docs, shingle, percent, block_shingles), "dup-links")
-    comps = written(components(links), "dup-comps")
+    comps = written(components(links.union(_same_id(linkable, classes))), "dup-comps")
 
     of_class = classes.select("set_key", "rep").join(comps, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     slim = featured.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("set_key")).alias("set_key"))
@@ -439,8 +502,17 @@ def _with_sketch(batches):
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without the rows of documents that aren't kept, columns as they were; rows with one id are all kept or none."""
+    """docs with one row of each group of near-duplicates, columns as they were.
+
+    Of rows with one id, the one with the least text stays (a null text last). Rows without an id all stay.
+    """
     dropped = near_duplicates(docs, id_col, text_col, **how).filter("NOT kept").select(F.col("doc_id").alias("__id")).distinct()
-    dropped = written(dropped, "dup-dropped")
-    few = dropped.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(dropped) if few else dropped, F.col(id_col) == F.col("__id"), "left_anti")
+    rest = docs.join(_few(written(dropped, "dup-dropped")), F.col(id_col) == F.col("__id"), "left_anti")
+    twice = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("n")).filter("n > 1").select("__id")
+    twice = written(twice, "dup-twice")
+    if twice.isEmpty():
+        return rest
+    again = F.col(id_col) == F.col("__id")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = rest.join(_few(twice), again, "left_semi").groupBy(F.col(id_col).alias("__id")).agg(F.min_by(row, F.struct(F.col(text_col).isNull(), F.col(text_col))).alias("__row"))
+    return rest.join(_few(twice), again, "left_anti").unionByName(one.select("__row.*"))

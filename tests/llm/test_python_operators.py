@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -167,9 +168,15 @@ def test_long_texts_do_not_remove_others_from_the_toxicity_sample(spark):
 # ---- near-duplicates ---------------------------------------------------------------------------------------------
 
 
+def _word_tuples(text, size):
+    """A text's set by the contract, in plain Python: A-Z lower-cased, cut at the six spaces."""
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
 def _plain_components(docs, size, percent):
-    memory = S.WordHashes()
-    sets = [set(S.shingle_set(t, size, memory).tolist()) for _, t in docs]
+    sets = [_word_tuples(t, size) for _, t in docs]
     parent = {i: i for i, _ in docs if i is not None}
 
     def find(x):
@@ -179,12 +186,13 @@ def _plain_components(docs, size, percent):
 
     for a in range(len(docs)):
         for b in range(a):
-            if docs[a][0] is None or docs[b][0] is None or not sets[a] or not sets[b]:
+            if docs[a][0] is None or docs[b][0] is None:
                 continue
-            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            same_id = docs[a][0] == docs[b][0]
+            if same_id or (sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])):
                 x, y = find(docs[a][0]), find(docs[b][0])
                 parent[max(x, y)] = min(x, y)
-    return [(len(s), None if i is None else find(i)) for (i, _), s in zip(docs, sets, strict=True)]
+    return [(len(s), None if i is None else find(i) if s else i) for (i, _), s in zip(docs, sets, strict=True)]
 
 
 def _family(rng, n, words, edits):
@@ -198,7 +206,7 @@ def _family(rng, n, words, edits):
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"node_limit": 4, "levels": 3, "block_shingles": 900}])
+@pytest.mark.parametrize("how", [{}, {"node_limit": 4, "levels": 3, "block_shingles": 900}, {"node_limit": 2, "levels": 2}, {"node_limit": 2, "levels": 5}])
 def test_near_duplicates_equal_all_pairs(spark, how):
     rng = random.Random(4)
     texts = [t for k in (1, 2, 3, 5, 30) for t in _family(rng, k, 60, 5)] + _family(rng, 12, 12, 1)
@@ -211,7 +219,27 @@ def test_near_duplicates_equal_all_pairs(spark, how):
     assert Counter(map(tuple, got)) == want
     kept = neardup.deduplicated(df, shingle=4, **how)
     assert kept.columns == df.columns
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in got if r["kept"])
+    rows = kept.collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(set(r["doc_id"] for r in got if r["kept"]))
+    assert all(r["text"] == min((t for i, t in docs if i == r["doc_id"]), key=lambda t: (t is None, t)) for r in rows)
+
+
+@pytest.mark.parametrize("levels", [2, 4])
+def test_crowded_nodes_lose_no_link(spark, levels):
+    """Families that drift (ends far apart, neighbours near) around one passage, in nodes far too small for them."""
+    rng = random.Random(11)
+    passage = [f"shared{i}" for i in range(30)]
+    rows = []
+    for family in range(6):
+        words = passage + [f"f{family}w{i}" for i in range(30)]
+        for k in range(40):
+            words = list(words)
+            words[30 + rng.randrange(30)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows) + 1, " ".join(words + ["pad"] * (k % 3))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, shingle=3, node_limit=5, levels=levels).collect()}
+    assert got == {i: c for (i, _), (_, c) in zip(rows, _plain_components(rows, 3, 80), strict=True)}
+    assert len(set(got.values())) < 120
 
 
 def test_near_duplicates_of_nothing(spark):

@@ -61,15 +61,19 @@ def histogram(lengths: DataFrame) -> DataFrame:
     return lengths.groupBy(cell(F.col("length")).alias("cell")).agg(F.count("*").alias("n"), F.sum("length").alias("total"), F.max("length").alias("longest"))
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 16, budget: int = 16_384, seed: int = 5) -> DataFrame:
-    """A row per input row: doc_id, length (words), bucket, bucket_length, shard, batch, slot, batch_id.
+def pack(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 16, budget: int = 16_384, seed: int = 5, carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """A row per input row: doc_id, length (words), bucket, bucket_length, shard, batch, slot, batch_id, and the columns
+    named in carry (such as the text itself, which then lies with its batch).
 
     batch_id is bucket:shard:batch. Null and empty texts have length 0. Repeated rows are documents of their own, each in
     a slot. Equal lengths share a bucket; ids break ties. An empty table gives an empty result; other columns are left
     out.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), T.n_words(F.col(text_col)).alias("length"))
-    rows = written(rows, "pack-lengths")
+    rows = docs.select(F.col(id_col).alias("doc_id"), T.n_words(F.col(text_col)).alias("length"), *[F.col(f"`{c}`").alias(f"__{c}") for c in carry])
+    # without further columns the lengths are counted once; texts to carry are not written another time for that
+    rows = rows if carry else written(rows, "pack-lengths")
     cells = histogram(rows).orderBy("cell").collect()  # a few thousand at most, see cell()
     ends = boundaries(*(np.array([r[k] for r in cells], float) for k in ("n", "total", "longest")), buckets) if cells else []
     if not ends:
@@ -88,4 +92,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket
     return rows.select(
         "doc_id", "length", "bucket", pick(ends).cast("long").alias("bucket_length"), "shard", batch.alias("batch"),
         (F.col("__n") % F.col("__b")).cast("long").alias("slot"), F.concat_ws(":", "bucket", "shard", batch).alias("batch_id"),
+        *[F.col(f"__{c}").alias(c) for c in carry],
     )

@@ -63,9 +63,34 @@ def test_stages(spark, corpus):
 
     packed = P.STAGES[4][1](spark, mixed, d)
     assert Counter(r["doc_id"] for r in packed.collect()) == copies
+    assert all(texts[r["doc_id"]] == r["text"] and source[r["doc_id"]] == r["source"] for r in packed.collect())
 
 
 def test_run(spark, corpus):
-    d, _ = corpus
-    assert P.run(spark, d).filter(F.col("length") > F.col("bucket_length")).count() == 0
+    d, rows = corpus
+    packed = P.run(spark, d).collect()
+    texts = {r[0]: r[1] for r in rows}
+    assert packed and all(r["length"] <= r["bucket_length"] and r["length"] == len(r["text"].split()) for r in packed)
+    assert all(r["text"] == texts[r["doc_id"]] or r["doc_id"] == 20 for r in packed)
+    assert all("jo.doe" not in r["text"] for r in packed)
     assert P.ORACLE_SQL is None
+
+
+def _table(spark, rows, path):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, length int, batch string, key string").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_run_on_empty_and_odd_tables(spark, tmp_path):
+    assert P.run(spark, _table(spark, [], tmp_path / "empty")).count() == 0
+    rng = random.Random(3)
+    text = _prose(rng, 80)
+    odd = [(None, None, None, None, None, 1, "b", "k")] * 2 + [(1, text, None, None, None, 1, "b", "k")] * 2 + [(2, text, "en", "", 0, 1, None, None), (None, _prose(rng, 90), "en", "s", 0, 1, "b", "k"), (3, "", "en", "s", 0, 1, "b", "k")]
+    got = P.run(spark, _table(spark, odd, tmp_path / "odd"))
+    assert got.columns.count("length") == got.columns.count("batch") == 1
+    ids = {r["doc_id"] for r in got.collect()}
+    assert ids <= {1, None} and ids
+    assert P.STAGES[1][1](spark, spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long, length int, batch string, key string"), "").filter("doc_id = 1").count() == 1
+    for name, stage in P.STAGES[:-1]:
+        docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long, length int, batch string, key string")
+        assert stage(spark, docs, "").columns == docs.columns, name

@@ -115,6 +115,9 @@ def test_packing(spark):
     cell = {r["length"]: r["c"] for r in spark.createDataFrame([(x,) for x in (0, 1, 1024, 1025, 5000, 5001, 10**6)], "length long").select("length", packing.cell(F.col("length")).alias("c")).collect()}
     assert [cell[x] for x in sorted(cell)] == sorted(cell.values()) and cell[1024] == 1024
     assert packing.pack(df.limit(0)).count() == 0
+    carried = packing.pack(df, buckets=4, budget=4000, carry=("text",)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in carried) == Counter(rows)
+    assert Counter(tuple(r)[:-1] for r in carried) == Counter(map(tuple, got))
 
 
 # ---- toxicity ----------------------------------------------------------------------------------------------------

@@ -11,7 +11,8 @@ bounded size. A node with over `node_limit` sets in one range is crowded: there
 is compared with the others, dealt out evenly. What matches makes clusters. What doesn't match, a stray, is then compared
 exhaustively with the whole clusters of the hubs that it met and with their other strays; a cluster is dealt into parts
 for this, once, however many nodes it crowds. Only nodes whose hubs' clusters have over `node_limit` strays in a range
-branch on, into their children; at the last level, they are compared in pairs of blocks. So no partner is ever left out
+branch on, into their children; those left at the last level, or once all that are left have no more than `finish` pairs,
+are compared in pairs of blocks. So no partner is ever left out
 for size, and no task holds more than a few times `node_limit` sets. The sketch test lets through what lies within 5
 standard deviations of the threshold.
 
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factlens.llm import shingles as S
@@ -374,38 +375,38 @@ def _dealt(rows: DataFrame, ranges: DataFrame, percent: int) -> DataFrame:
     return joined.select("rep", "comp", F.explode(places).alias("p")).select("p.node", "rep", "comp", "p.visiting", "p.origin")
 
 
-def _around_clusters(strays: DataFrame, hubs: DataFrame, clusters: DataFrame, classes: DataFrame, node_limit: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """strays(rep, key), hubs(key, r, cluster), clusters(node, component) -> (dealt rows, crowded(cluster)).
+def _around_clusters(strays: DataFrame, hubs: DataFrame, few, clusters: DataFrame, named: DataFrame, classes: DataFrame, node_limit: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """strays(rep, key), hubs(key, r, cluster), clusters(node, component), named(rep, comp) -> (dealt rows, crowded(cluster)).
 
     A stray goes to the clusters of its node's hubs in its own range and both neighbours; where hubs of neighbouring ranges
     are of two clusters, the one's members go to the other. A cluster's members are dealt into parts; strays are in all.
+    `few` marks what has no more rows than hubs for broadcast, if those are few.
     """
-    named = F.coalesce("component", "rep").alias("comp")
     of = classes.select("rep", "n")
-    wide = hubs.select("key", "cluster", F.explode(F.array(F.col("r") - 1, F.col("r"), F.col("r") + 1)).alias("r"))
-    wide = _few(written(wide.distinct(), "dup-hubs"))
-    placed = strays.join(of, "rep").withColumn("r", _range(percent)).join(wide, ["key", "r"]).select("rep", "n", "cluster").distinct()
+    wide = hubs.select("key", "cluster", F.explode(F.array(F.col("r") - 1, F.col("r"), F.col("r") + 1)).alias("r")).distinct()
+    placed = strays.join(of, "rep").withColumn("r", _range(percent)).join(few(wide), ["key", "r"]).select("rep", "n", "cluster").distinct()
     next_ = hubs.select("key", (F.col("r") - 1).alias("r"), F.col("cluster").alias("other"))
-    pairs = hubs.join(next_, ["key", "r"]).filter("cluster <> other").select("cluster", "other").distinct()
+    pairs = hubs.join(few(next_), ["key", "r"]).filter("cluster <> other").select("cluster", "other").distinct()
     members = clusters.select(F.col("node").alias("rep"), F.col("component").alias("c")).union(hubs.select("cluster", "cluster")).distinct()
-    needed = _few(written(placed.select("cluster").union(pairs.select("cluster")).distinct(), "dup-needed"))
-    crossing = pairs.join(members, F.col("other") == F.col("c")).select("rep", "cluster").join(of, "rep").select("rep", "n", "cluster")
-    guests = placed.union(crossing).distinct().join(clusters, F.col("rep") == F.col("node"), "left").select("rep", "n", "cluster", named).filter("comp <> cluster")
-    own = members.join(needed, F.col("c") == F.col("cluster")).select("rep", "cluster").join(of, "rep").select("rep", "n", "cluster", F.col("cluster").alias("comp"))
+    crossing = members.join(few(pairs), F.col("other") == F.col("c")).select("rep", "cluster").join(of, "rep").select("rep", "n", "cluster")
+    guests = placed.union(crossing).distinct().join(named, "rep").select("rep", "n", "cluster", "comp").filter("comp <> cluster")
+    own = members.join(few(hubs.select("cluster").distinct()), F.col("c") == F.col("cluster")).select("rep", "cluster").join(of, "rep").select("rep", "n", "cluster", F.col("cluster").alias("comp"))
     rows = written(guests.union(own).withColumn("r", _range(percent)), "dup-around")
     # a range holds its own rows and the visitors from the one below
-    at = rows.select("rep", "cluster", "comp", F.explode(F.array(F.struct(F.col("r").alias("at"), F.lit(False).alias("visiting")), F.struct((F.col("r") + 1).alias("at"), F.lit(True).alias("visiting")))).alias("p"))
-    at = at.select("rep", "cluster", "comp", "p.at", "p.visiting")
+    both = F.array(F.struct(F.col("r").alias("at"), F.lit(False).alias("visiting")), F.struct((F.col("r") + 1).alias("at"), F.lit(True).alias("visiting")))
+    at = rows.select("rep", "cluster", "comp", F.explode(both).alias("p")).select("rep", "cluster", "comp", "p.at", "p.visiting")
     mine = F.col("comp") == F.col("cluster")
-    counts = at.groupBy("cluster", "at").agg(F.count_if(mine).alias("own"), F.count_if(~mine & ~F.col("visiting")).alias("guests"))
-    counts = written(counts, "dup-around-counts")
-    crowded = written(counts.filter(F.col("guests") > node_limit).select("cluster").distinct(), "dup-crowded")
-    parts = counts.select(F.col("cluster").alias("k"), F.col("at").alias("a"), F.greatest(F.ceil(F.col("own") / node_limit), F.lit(1)).cast("int").alias("parts"))
-    calm = at.join(_few(crowded), "cluster", "left_anti").join(_few(parts), (F.col("cluster") == F.col("k")) & (F.col("at") == F.col("a")))
+    counts = at.groupBy("cluster", "at").agg(F.count_if(mine).alias("own"), F.count_if(~mine & ~F.col("visiting")).alias("guests"), F.count_if(~mine).alias("others"))
+    limits = counts.select(
+        F.col("cluster").alias("k"), F.col("at").alias("a"), F.greatest(F.ceil(F.col("own") / node_limit), F.lit(1)).cast("int").alias("parts"),
+        (F.max("guests").over(Window.partitionBy("cluster")) > node_limit).alias("crowded"), "others",
+    )
+    limits = written(limits.coalesce(8), "dup-limits")  # a row for each range of a hub's cluster
+    calm = at.join(_few(limits.filter("others > 0")), (F.col("cluster") == F.col("k")) & (F.col("at") == F.col("a"))).filter("NOT crowded")
     everywhere = F.sequence(F.lit(0), F.col("parts") - 1)
     dealt = calm.withColumn("part", F.explode(F.when(mine, F.array(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))).otherwise(everywhere)))
     none = F.lit(None).cast("long").alias("origin")
-    return dealt.select(F.xxhash64("cluster", "at", "part").alias("node"), "rep", "comp", "visiting", none), crowded
+    return dealt.select(F.xxhash64("cluster", "at", "part").alias("node"), "rep", "comp", "visiting", none), limits.filter("crowded").select(F.col("k").alias("cluster")).distinct()
 
 
 def _blocked(rows: DataFrame, node_limit: int) -> DataFrame:
@@ -417,17 +418,14 @@ def _blocked(rows: DataFrame, node_limit: int) -> DataFrame:
     return dealt.select(node, "rep", "comp", F.lit(False).alias("visiting"), F.lit(None).cast("long").alias("origin"))
 
 
-def _candidates(classes: DataFrame, trees: int, threshold: float, percent: int, node_limit: int, levels: int, seed: int) -> DataFrame:
+def _candidates(classes: DataFrame, trees: int, threshold: float, percent: int, node_limit: int, levels: int, finish: int, seed: int) -> DataFrame:
     """Edges (u, v) between classes that the sketches allow; they span the clusters of all such pairs that met."""
     least = int(T_VALUES * threshold - 5 * (T_VALUES * threshold * (1 - threshold)) ** 0.5)
     keys = classes.select("rep", F.col("n").cast("int").alias("n"), "sig").mapInArrow(_root_keys(_roots(trees, threshold, seed)), "key long, rep long, n int")
     nodes, edges = keys.withColumn("comp", F.col("rep")), None
     for level in range(1, levels + 1):
         rows = written(_sized(nodes), "dup-nodes")
-        if level == levels:
-            more = _found(_blocked(rows, node_limit), classes, least, percent).select("u", "v")
-            return written(edges.union(more), "dup-edges")
-        ranges = written(_ranges(rows, node_limit, percent), "dup-ranges")
+        ranges = written(_ranges(rows, node_limit, percent).coalesce(8), "dup-ranges")  # a row for each range of a large node
         found = written(_found(_dealt(rows, ranges, percent), classes, least, percent), "dup-found")
         met = found.filter("v IS NOT NULL").select("u", "v")
         edges = met if edges is None else edges.union(met)
@@ -436,21 +434,27 @@ def _candidates(classes: DataFrame, trees: int, threshold: float, percent: int,
             break
         clusters = written(components(edges), "dup-clusters")
         hubs = crowded.join(clusters, F.col("hub") == F.col("node"), "left").select("key", "r", F.coalesce("component", "hub").alias("cluster"))
-        hubs = written(hubs, "dup-hubs")
+        hubs = written(hubs.coalesce(8), "dup-hubs")
+        small = hubs.count() <= BROADCAST_ROWS
+        few = F.broadcast if small else lambda table: table
+        named = classes.select("rep").distinct().join(clusters, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("comp"))
+        named = written(named, "dup-named")  # a row a class
         strays = found.filter("v IS NULL").select(F.col("u").alias("rep"), "key")
-        dealt, still = _around_clusters(strays, hubs, clusters, classes, node_limit, percent)
-        around = written(_found(dealt, classes, least, percent), "dup-found")
-        edges = edges.union(around.select("u", "v"))
-        if still.isEmpty():
-            break
+        dealt, still = _around_clusters(strays, hubs, few, clusters, named, classes, node_limit, percent)
+        edges = edges.union(written(_found(dealt, classes, least, percent), "dup-found").select("u", "v"))
         # the nodes of clusters with too many strays branch, each by itself
-        branching = _few(written(hubs.join(_few(still), "cluster").select(F.col("key").alias("k")).distinct(), "dup-branching"))
-        deep = rows.select("key", "rep", "n").join(branching, F.col("key") == F.col("k"), "left_semi").join(classes.select("rep", "sig"), "rep")
-        deep = deep.join(clusters, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"), "sig")
-        if level + 1 == levels:  # what still crowds the last level but one meets in blocks
-            nodes = deep.drop("sig")
-        else:
-            nodes = deep.mapInArrow(_child_keys(threshold), "key long, rep long, n int, comp long").distinct()
+        branching = hubs.join(few(still), "cluster").select(F.col("key").alias("k")).distinct()
+        rows = rows.join(few(branching), F.col("key") == F.col("k"), "left_semi")
+        pairs = (rows.agg(F.sum("size").alias("s")).first()["s"] or 0) // 2
+        if not pairs:
+            break
+        deep = rows.select("key", "rep", "n").join(named, "rep").select("key", "rep", "n", "comp")
+        if pairs <= finish or level + 1 >= levels:
+            blocks = _blocked(written(_sized(deep), "dup-nodes"), node_limit)
+            edges = edges.union(written(_found(blocks, classes, least, percent), "dup-found").select("u", "v"))
+            break
+        deep = deep.join(classes.select("rep", "sig"), "rep").select("key", "rep", "n", "comp", "sig")
+        nodes = deep.mapInArrow(_child_keys(threshold), "key long, rep long, n int, comp long").distinct()
     return edges
 
 
@@ -467,7 +471,7 @@ def _same_id(linkable: DataFrame, classes: DataFrame) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80,
-    trees: int = 24, node_limit: int = 1536, levels: int = 6, block_shingles: int = 1_500_000, seed: int = 20_240_501,
+    trees: int = 24, node_limit: int = 1536, levels: int = 6, finish: int = 50_000_000, block_shingles: int = 1_500_000, seed: int = 20_240_501,
 ) -> DataFrame:
     """A row per input row: doc_id, n_shingles, component_id (least id reachable), kept (the id is the component's).
 
@@ -481,7 +485,7 @@ def near_duplicates(
     linkable = featured.filter("n > 0 AND id IS NOT NULL")
     classes = linkable.groupBy("set_key", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")).select("set_key", "rep", "sig", "n")
     classes = written(classes.mapInArrow(_with_sketch, "set_key binary, rep long, sig binary, n long, sketch binary"), "dup-classes")
-    clusters = written(components(_candidates(classes, trees, percent / 100, percent, node_limit, levels, seed)), "dup-clusters")
+    clusters = written(components(_candidates(classes, trees, percent / 100, percent, node_limit, levels, finish, seed)), "dup-clusters")
     links = written(_confirm(clusters, classes, docs, shingle, percent, block_shingles), "dup-links")
     comps = written(components(links.union(_same_id(linkable, classes))), "dup-comps")
 

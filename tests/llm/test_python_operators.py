@@ -209,7 +209,7 @@ def _family(rng, n, words, edits):
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"node_limit": 4, "levels": 3, "block_shingles": 900}, {"node_limit": 2, "levels": 2}, {"node_limit": 2, "levels": 5}])
+@pytest.mark.parametrize("how", [{}, {"node_limit": 4, "levels": 3, "block_shingles": 900}, {"node_limit": 2, "levels": 2}, {"node_limit": 2, "levels": 5, "finish": 0}])
 def test_near_duplicates_equal_all_pairs(spark, how):
     rng = random.Random(4)
     texts = [t for k in (1, 2, 3, 5, 30) for t in _family(rng, k, 60, 5)] + _family(rng, 12, 12, 1)
@@ -240,7 +240,7 @@ def test_crowded_nodes_lose_no_link(spark, levels):
             words[30 + rng.randrange(30)] = f"x{rng.randrange(10**6)}"
             rows.append((len(rows) + 1, " ".join(words + ["pad"] * (k % 3))))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, shingle=3, node_limit=5, levels=levels).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, shingle=3, node_limit=5, levels=levels, finish=0).collect()}
     assert got == {i: c for (i, _), (_, c) in zip(rows, _plain_components(rows, 3, 80), strict=True)}
     assert len(set(got.values())) < 120
 

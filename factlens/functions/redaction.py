@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factlens.config import RedactionConfig
+from factlens.functions.nested import bound
 
 #: Name and pattern, in the order of replacement.
 PATTERNS = [
@@ -39,8 +40,10 @@ def _marked(s: Column, name: str, regex: str, hashed: bool) -> Column:
 
 
 def redact_text(s: Column, config: RedactionConfig = RedactionConfig()) -> Column:
+    """Each pattern is one pass over what the last one left; the expression grows by one layer a pattern."""
     for name, regex in active(config):
-        s = F.when(s.rlike(regex), _marked(s, name, regex, config.hash_identifiers)).otherwise(s)
+        # a digest cuts the text at its matches and needs it twice, so it is bound; a plain mark does not
+        s = bound(s, lambda t, n=name, r=regex: _marked(t, n, r, True)) if config.hash_identifiers else _marked(s, name, regex, False)
     return s
 
 

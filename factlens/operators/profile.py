@@ -1,9 +1,9 @@
 """Facts of whole tables: numeric statistics, cardinality, nulls, top values. Every operator is DataFrame -> DataFrame,
 exact over all rows.
 
-Numeric facts of all columns come from one aggregation. Cardinality unpivots to (column, value), counts values, and
-counts those: one shuffle on well-spread keys serves distinct counts, classes and top values of all columns.
-Order statistics come from value counts as well: running sums over a column's distinct values, never a list of its rows.
+Numeric facts of all columns come from one aggregation. Cardinality unpivots to (column, value) and counts values once:
+one shuffle on well-spread keys serves distinct counts, classes and top values of all columns. Order statistics narrow
+down the ranges of values that hold the wanted places, never a list of a column's rows.
 """
 
 from __future__ import annotations
@@ -66,41 +66,76 @@ def _text(c: Column, kind: T.DataType, as_type: str) -> Column:
     return c.cast(as_type)
 
 
-def order_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def _slice_of(value: Column, low: Column, high: Column, parts: int) -> Column:
+    """Which of `parts` equal slices of [low, high] a value lies in. Ends may be far apart, so halves are subtracted."""
+    width = high / 2 - low / 2
+    share = F.try_divide(value / 2 - low / 2, width)
+    return F.when(width > 0, F.least(F.floor(share * parts), F.lit(parts - 1))).otherwise(F.lit(0)).cast("int")
+
+
+def order_stats(df: DataFrame, columns: list[str] | None = None, parts: int = 512, few: int = 100_000, rounds: int = 40) -> DataFrame:
     """A row per numeric column: n (finite), median (mean of the middle two), and q1, q3: the values at the 0-based
     places n // 4 and 3n // 4, for n >= 4.
 
-    Values are counted first; running counts over a column's distinct values find the places. Distinct values are dealt
-    by range, each range is summed, and only the few ranges that hold a place are looked into, so that no column has to
-    be sorted in one task.
+    Nothing is sorted as a whole. Each wanted place has a range of values that holds it, at first the column's. A round
+    counts the rows in `parts` equal slices of every such range, in one aggregation over the table, and the slice with the
+    place becomes the range; this ends when all ranges hold at most `few` rows in total or a single value. Then the rows of
+    these ranges alone are counted by value and looked up. So no task sees more than a slice, and a table that is small
+    from the start is read once more only.
     """
     names = columns or numeric_columns(df)
     empty = "column string, n long, q1 double, median double, q3 double"
+    spark = df.sparkSession
     if not names:
-        return df.sparkSession.createDataFrame([], empty)
-    values = unpivoted(df, names, "double").filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
-    counts = values.groupBy("column", "value").agg(F.count("*").alias("c"))
-    # order-preserving bits of the double: equal high bits form a slice of neighbouring values
-    sized = counts.withColumn("slice", F.floor(F.when(F.col("value") == 0, 0.0).otherwise(F.signum("value") * F.log2(1 + F.abs("value"))) * 512).cast("long"))
-    slices = sized.groupBy("column", "slice").agg(F.sum("c").alias("c"))
-    by_slice = Window.partitionBy("column").orderBy("slice")
-    placed = slices.withColumn("before", F.sum("c").over(by_slice) - F.col("c")).withColumn("n", F.sum("c").over(Window.partitionBy("column")))
-    n = F.col("n")
-    places = {"q1": F.floor(n / 4), "m1": F.floor((n - 1) / 2), "m2": F.floor(n / 2), "q3": F.floor(n * 3 / 4)}
-    wanted = F.array(*[F.struct(F.lit(k).alias("place"), p.cast("long").alias("at")) for k, p in places.items()])
-    asked = placed.withColumn("w", F.explode(wanted)).filter("w.at >= before AND w.at < before + c").select("column", "slice", "n", "before", "w.place", "w.at")
-    inside = Window.partitionBy("column", "slice", "place").orderBy("value")
-    hits = (
-        sized.join(asked, ["column", "slice"])
-        .withColumn("upto", F.col("before") + F.sum("c").over(inside))
-        .filter("at < upto AND at >= upto - c")
-        .groupBy("column", "n")
-        .agg(*[F.max(F.when(F.col("place") == k, F.col("value"))).alias(k) for k in places])
-    )
+        return spark.createDataFrame([], empty)
+    values = {n: _as_double(quoted(n))[3] for n in names}
+    ends = df.agg(*[f(v).alias(f"{k}{i}") for i, v in enumerate(values.values()) for k, f in (("n", F.count), ("low", F.min), ("high", F.max))]).first()
+    # (column, place) -> rows before the range, rows in it, its ends; four to a column
+    open_ = {}
+    for i, name in enumerate(names):
+        n = ends[f"n{i}"]
+        for place, at in (("q1", n // 4), ("m1", (n - 1) // 2), ("m2", n // 2), ("q3", 3 * n // 4)):
+            if n:
+                open_[name, place] = (at, n, ends[f"low{i}"], ends[f"high{i}"])
+    for _ in range(rounds):
+        ranges = sorted({(name, low, high) for (name, _), (_, n, low, high) in open_.items() if low < high and n > few // (4 * len(names))})
+        if not ranges:
+            break
+        index = {r: j for j, r in enumerate(ranges)}
+        found = _sliced(df, values, ranges, parts).groupBy("i", "s").agg(F.count("*").alias("c"), F.min("value").alias("low"), F.max("value").alias("high")).collect()
+        slices: dict[int, list] = {}
+        for r in sorted(found, key=lambda r: (r["i"], r["s"])):  # parts rows for each range, four ranges a column at most
+            slices.setdefault(r["i"], []).append(r)
+        for key, (at, n, low, high) in list(open_.items()):
+            if (key[0], low, high) not in index:
+                continue
+            for r in slices[index[key[0], low, high]]:
+                if at < r["c"]:
+                    open_[key] = (at, r["c"], r["low"], r["high"])
+                    break
+                at -= r["c"]
+    ranges = sorted({(name, low, high) for (name, _), (_, _, low, high) in open_.items()})
+    index = {r: j for j, r in enumerate(ranges)}
+    counts = _sliced(df, values, ranges, 1).groupBy("i", "value").agg(F.count("*").alias("c"))
+    asked = [(index[name, low, high], name, place, at, ends[f"n{names.index(name)}"]) for (name, place), (at, _, low, high) in open_.items()]
+    asked = spark.createDataFrame(asked, "i int, column string, place string, at long, n long")
+    inside = Window.partitionBy("i").orderBy("value")
+    reached = counts.withColumn("upto", F.sum("c").over(inside))  # few rows, or one value, to a range
+    hits = reached.join(F.broadcast(asked), "i").filter("at < upto AND at >= upto - c").groupBy("column", "n")
+    hits = hits.agg(*[F.max(F.when(F.col("place") == k, F.col("value"))).alias(k) for k in ("q1", "m1", "m2", "q3")])
     four = lambda c: F.when(F.col("n") >= 4, F.col(c))
     return hits.select("column", "n", four("q1").alias("q1"), ((F.col("m1") + F.col("m2")) / 2).alias("median"), four("q3").alias("q3"))
 
 
+def _sliced(df: DataFrame, values: dict[str, Column], ranges: list[tuple[str, float, float]], parts: int) -> DataFrame:
+    """(i, s, value) of the values inside the i-th range and the slice s they lie in."""
+    rows = []
+    for i, (name, low, high) in enumerate(ranges):
+        v, a, b = values[name], F.lit(float(low)), F.lit(float(high))
+        rows.append(F.when(v.between(a, b), F.struct(F.lit(i).alias("i"), _slice_of(v, a, b, parts).alias("s"), v.alias("value"))))
+    return df.select(F.explode(F.array_compact(F.array(*rows))).alias("r")).select("r.*")
+
+
 def null_counts(df: DataFrame) -> DataFrame:
     """A row per column: n_rows, null_count (NULL), nan_count, missing (both)."""
     names, facts = df.columns, {}
@@ -133,6 +168,21 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return unpivoted(df, columns or df.columns, "string").filter("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
+def distinct_facts(df: DataFrame, columns: list[str] | None = None, k: int = 5) -> DataFrame:
+    """(column, unique_count, total_count, top: array of rank, value, n) of columns with values, from one value count.
+
+    In each of 64 hash groups the values are counted and cut to the k most common; only these meet.
+    """
+    counts = value_counts(df, columns).withColumn("g", F.pmod(F.xxhash64("value"), F.lit(64)))
+    order = [F.col("n").desc(), F.col("value")]
+    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("column", "g").orderBy(*order)))
+    held = F.when(F.col("r") <= k, F.struct((-F.col("n")).alias("m"), "value"))
+    parts = ranked.groupBy("column", "g").agg(F.count("*").alias("u"), F.sum("n").alias("t"), F.collect_list(held).alias("few"))
+    whole = parts.groupBy("column").agg(F.sum("u").alias("unique_count"), F.sum("t").alias("total_count"), F.slice(F.sort_array(F.flatten(F.collect_list("few"))), 1, k).alias("few"))
+    top = F.transform("few", lambda x, i: F.struct((i + 1).alias("rank"), x["value"].alias("value"), (-x["m"]).alias("n")))
+    return whole.select("column", "unique_count", "total_count", top.alias("top"))
+
+
 def cardinality(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """A row per column: unique_count, total_count, ratio, is_constant, is_categorical, is_id_like.
 
@@ -140,13 +190,17 @@ def cardinality(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     A column without values counts as constant, with a ratio of 0.
     """
     names = columns or df.columns
-    counted = value_counts(df, names).groupBy("column").agg(F.count("*").alias("u"), F.sum("n").alias("t"))
+    counted = value_counts(df, names).groupBy("column").agg(F.count("*").alias("unique_count"), F.sum("n").alias("total_count"))
+    return _classes(df, names, counted)
+
+
+def _classes(df: DataFrame, names: list[str], counted: DataFrame, *more: str) -> DataFrame:
     every = df.sparkSession.createDataFrame([(n,) for n in names], "column string")
-    u, t = F.coalesce("u", F.lit(0).cast("long")), F.coalesce("t", F.lit(0).cast("long"))
-    ratio = F.coalesce(F.col("u") / F.col("t"), F.lit(0.0))
+    u, t = F.coalesce("unique_count", F.lit(0).cast("long")), F.coalesce("total_count", F.lit(0).cast("long"))
+    ratio = F.coalesce(F.col("unique_count") / F.col("total_count"), F.lit(0.0))
     return (
         every.join(counted, "column", "left")
-        .select("column", u.alias("unique_count"), t.alias("total_count"), ratio.alias("ratio"))
+        .select("column", u.alias("unique_count"), t.alias("total_count"), ratio.alias("ratio"), *more)
         .withColumn("is_constant", F.col("unique_count") <= 1)
         .withColumn("is_categorical", ((F.col("unique_count") <= 20) | ((F.col("unique_count") <= 50) & (F.col("ratio") < 0.05))) & (F.col("total_count") > 0))
         .withColumn("is_id_like", (F.col("ratio") > 0.95) & (F.col("unique_count") > 10))
@@ -170,19 +224,16 @@ def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 5) -> D
 
     A column's distinct values are cut to k in each of 64 hash groups before they meet.
     """
-    counts = value_counts(df, columns).withColumn("g", F.pmod(F.xxhash64("value"), F.lit(64)))
-    order = [F.col("n").desc(), F.col("value")]
-    few = counts.withColumn("r", F.row_number().over(Window.partitionBy("column", "g").orderBy(*order))).filter(F.col("r") <= k)
-    return few.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(*order))).filter(F.col("rank") <= k).select("column", "rank", "value", "n")
+    return distinct_facts(df, columns, k).select("column", F.explode("top").alias("t")).select("column", "t.rank", "t.value", "t.n")
 
 
 def profile(df: DataFrame) -> DataFrame:
     """A row per column: position, type, nulls, numeric and order statistics, cardinality classes, top values."""
     spark = df.sparkSession
     base = spark.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)], "position int, column string, type string")
-    top = top_values(df).groupBy("column").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("top"))
+    distinct = _classes(df, df.columns, distinct_facts(df), "top")
     out = base.join(null_counts(df), "column", "left").join(numeric_stats(df), "column", "left").join(order_stats(df).drop("n"), "column", "left")
-    out = out.join(cardinality(df), "column", "left").join(top, "column", "left")
+    out = out.join(distinct, "column", "left")
     return out.withColumn("top", F.when(F.col("is_categorical"), F.col("top"))).orderBy("position")
 
 

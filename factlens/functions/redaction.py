@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,7 +45,8 @@ def redact_text(s: Column, config: RedactionConfig = RedactionConfig()) -> Colum
     """Each pattern is one pass over what the last one left; the expression grows by one layer a pattern."""
     for name, regex in active(config):
         # a digest cuts the text at its matches and needs it twice, so it is bound; a plain mark does not
-        s = bound(s, lambda t, n=name, r=regex: _marked(t, n, r, True)) if config.hash_identifiers else _marked(s, name, regex, False)
+        marked = partial(_marked, name=name, regex=regex, hashed=config.hash_identifiers)
+        s = bound(s, lambda t: marked(t)) if config.hash_identifiers else marked(s)  # noqa: B023
     return s
 
 

@@ -97,6 +97,8 @@ def order_stats(df: DataFrame, columns: list[str] | None = None, parts: int = 51
         for place, at in (("q1", n // 4), ("m1", (n - 1) // 2), ("m2", n // 2), ("q3", 3 * n // 4)):
             if n:
                 open_[name, place] = (at, n, ends[f"low{i}"], ends[f"high{i}"])
+    if not open_:
+        return spark.createDataFrame([], empty)
     for _ in range(rounds):
         ranges = sorted({(name, low, high) for (name, _), (_, n, low, high) in open_.items() if low < high and n > few // (4 * len(names))})
         if not ranges:

@@ -4,6 +4,10 @@ Signatures are compared in one ordered CASE on Column expressions, with header n
 databases, pickles, TOML and JPEG segments need a parser and go through an Arrow-batched function, which sees only files
 of these kinds. Nothing is ever unpickled: pickles are listed by their opcodes.
 
+Only the head of a file is read, whatever its size, and no file is left out. Where Python itself can open the files (local
+or mounted paths, S3, Google storage), tasks read 64 KiB of each and parsers seek in the open file. Elsewhere Spark's reader
+delivers the contents; a file too large for it (2 GiB) keeps its row, with a head of null and the kind `unread`.
+
 Decisions: JSON is tried before TOML; BMP needs its reserved zero bytes besides `BM`; JSON lines and CSV files are
 recognised; a UTF-8 character cut at the end of the head doesn't make the text Latin-1.
 """
@@ -27,7 +31,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BinaryType, StringType
 
 from factlens.functions import formats as formats_
 from factlens.functions.binary import begins, signed32, unsigned
@@ -36,12 +40,14 @@ from factlens.session import ship
 
 HEAD = 65_536
 MAX_LISTED = 10
-#: Endings of files that aren't worth a description, and the largest size that is.
+#: Endings of files that aren't worth a description, and the largest size that eligible() lets through.
 SKIPPED_ENDINGS = (
     ".exe", ".dll", ".so", ".dylib", ".bin", ".zip", ".tar", ".gz", ".bz2", ".7z",
     ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".mp3", ".mp4", ".avi", ".mov", ".wav",
 )
 MAX_BYTES = 100_000_000
+#: Spark holds a file's contents in one array.
+SPARK_LIMIT = 2**31 - 65_536
 
 
 @dataclass(frozen=True)
@@ -94,13 +100,6 @@ def _npy(path: Column, head: Column) -> Column:
     )
 
 
-def _wav(path: Column, head: Column) -> Column:
-    channels, rate, bits, size = unsigned(head, 22, 2, True), unsigned(head, 24, 4, True), unsigned(head, 34, 2, True), unsigned(head, 40, 4, True)
-    plain = begins(head, b"fmt ", 12) & begins(head, b"data", 36)
-    frames = F.when(plain, F.floor(F.try_divide(size, channels * bits / 8)))
-    return _map(channels=channels, sample_rate=rate, sample_width=(bits / 8).cast("int"), frames=frames, duration=F.round(F.try_divide(frames, rate), 3))
-
-
 def _is_toml(path: Column, head: Column) -> Column:
     t = _text(head)
     return F.coalesce(F.lower(path).endswith(".toml") | ((F.size(_parsed_by_line(t)) > 0) & ~formats_.json_facts(t).isNotNull() & ~formats_.looks_like_yaml(t)), F.lit(False))
@@ -140,7 +139,7 @@ SNIFFERS = [
     Sniffer("sqlite", lambda p, h: begins(h, b"SQLite format 3\0"), _nothing),
     Sniffer("zip", lambda p, h: begins(h, b"PK\x03\x04") | begins(h, b"PK\x05\x06") | begins(h, b"PK\x07\x08"), _nothing),
     Sniffer("tar", lambda p, h: begins(h, b"ustar", 257), _nothing),
-    Sniffer("wav", lambda p, h: begins(h, b"RIFF") & begins(h, b"WAVE", 8), _wav),
+    Sniffer("wav", lambda p, h: begins(h, b"RIFF") & begins(h, b"WAVE", 8), _nothing),
     Sniffer("gzip", lambda p, h: begins(h, b"\x1f\x8b"), _nothing),
     Sniffer("parquet", lambda p, h: begins(h, b"PAR1"), _nothing),
     Sniffer("hdf5", lambda p, h: begins(h, b"\x89HDF\r\n\x1a\n"), _nothing),
@@ -208,26 +207,27 @@ def pickle_globals(data: bytes) -> list[str]:
     return sorted(set(found))
 
 
-def _jpeg(data):
-    size = jpeg_size(data)
+def _jpeg(f, head):
+    size = jpeg_size(head)
     return {"width": size[0], "height": size[1]} if size else {}
 
 
-def _zip(data):
-    names = zipfile.ZipFile(io.BytesIO(data)).namelist()
+def _zip(f, head):
+    names = zipfile.ZipFile(f).namelist()
     return {"entry_count": len(names), "entries": names[:MAX_LISTED]}
 
 
-def _tar(data):
-    names = tarfile.open(fileobj=io.BytesIO(data)).getnames()
+def _tar(f, head):
+    names = tarfile.open(fileobj=f).getnames()
     return {"entry_count": len(names), "entries": names[:MAX_LISTED]}
 
 
-def _sqlite(data):
-    with tempfile.NamedTemporaryFile(suffix=".db") as f:
-        f.write(data)
-        f.flush()
-        db = sqlite3.connect(f"file:{f.name}?mode=ro&immutable=1", uri=True)
+def _sqlite(f, head):
+    with tempfile.NamedTemporaryFile(suffix=".db") as copy:  # a database is opened by name; the copy is this task's own
+        while block := f.read(1 << 20):
+            copy.write(block)
+        copy.flush()
+        db = sqlite3.connect(f"file:{copy.name}?mode=ro&immutable=1", uri=True)
         try:
             tables = {}
             for (name,) in db.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%' ORDER BY name"):
@@ -238,40 +238,77 @@ def _sqlite(data):
     return {"table_count": len(tables), "tables": tables}
 
 
-def _toml(data):
-    return {"keys": list(tomllib.loads(data.decode("utf-8")))[:MAX_LISTED]}
+def _toml(f, head):
+    return {"keys": list(tomllib.loads(head.decode("utf-8")))[:MAX_LISTED]}
+
+
+def _wave(f, head):
+    with wave.open(f) as w:
+        rate, frames = w.getframerate(), w.getnframes()
+        return {"channels": w.getnchannels(), "sample_rate": rate, "sample_width": w.getsampwidth(), "frames": frames, "duration": round(frames / rate, 3) if rate else None}
+
+
+PARSERS = {"jpeg": _jpeg, "zip": _zip, "tar": _tar, "sqlite": _sqlite, "pickle": lambda f, head: {"globals": pickle_globals(head)}, "toml": _toml, "wav": _wave}
+
+
+# ---- reading -----------------------------------------------------------------------------------------------------
 
+#: Schemes that Python opens by itself, and what its file systems call them.
+OPENED = {"file": "file", "s3": "s3", "s3a": "s3", "gs": "gs"}
 
-def _wave(data):
-    with wave.open(io.BytesIO(data)) as w:
-        return {"channels": w.getnchannels(), "sample_rate": w.getframerate(), "sample_width": w.getsampwidth(), "frames": w.getnframes()}
 
+def _open(path: str):
+    """The file of one of the schemes in OPENED, for seeking and reading."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return open("/" + rest.lstrip("/"), "rb")  # noqa: SIM115
+    from pyarrow import fs  # noqa: PLC0415
 
-PARSERS = {"jpeg": _jpeg, "zip": _zip, "tar": _tar, "sqlite": _sqlite, "pickle": lambda d: {"globals": pickle_globals(d)}, "toml": _toml}
+    system, inner = fs.FileSystem.from_uri(f"{OPENED[scheme]}:{rest}")
+    return system.open_input_file(inner)
+
+
+@F.pandas_udf(BinaryType())
+def _head_of(paths: pd.Series) -> pd.Series:
+    def one(path):
+        try:
+            with _open(path) as f:
+                return f.read(HEAD)
+        except OSError:  # gone since it was listed
+            return None
+
+    return pd.Series([one(p) for p in paths], dtype=object)
 
 
 @F.pandas_udf(StringType())
-def _parse(kind: pd.Series, content: pd.Series) -> pd.Series:
-    def one(k, data):
-        if k not in PARSERS or data is None:
+def _parse(kind: pd.Series, path: pd.Series, head: pd.Series, content: pd.Series) -> pd.Series:
+    def one(k, path, head, data):
+        if k not in PARSERS or head is None:
             return None
         try:
-            return json.dumps(PARSERS[k](data))
+            with io.BytesIO(data) if data is not None else _open(path) as f:
+                return json.dumps(PARSERS[k](f, head))
         except (ValueError, OSError, KeyError, EOFError, struct.error, zipfile.BadZipFile, tarfile.TarError, sqlite3.Error, wave.Error) as e:
             return json.dumps({"error": f"{type(e).__name__}: {e}"[:200]})
 
-    return pd.Series([one(k, d) for k, d in zip(kind, content, strict=True)], dtype=object)
+    return pd.Series([one(*row) for row in zip(kind, path, head, content, strict=True)], dtype=object)
 
 
-def read_files(spark: SparkSession, path: str, pattern: str | None = None, max_bytes: int | None = MAX_BYTES, recursive: bool = True) -> DataFrame:
-    """path, name, length, content of files; sizes are tested before contents are touched."""
+def read_files(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = True) -> DataFrame:
+    """path, name, length, head, content of all files; content is null where Python can open them, else head's source."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     files = reader.load(path)
-    if max_bytes is not None:
-        files = files.filter(F.col("length") <= max_bytes)
-    return files.withColumn("name", F.regexp_extract("path", "([^/]*)$", 1))
+    listed = files.select("path", "length")  # without contents
+    first = listed.first()
+    name = F.regexp_extract("path", "([^/]*)$", 1).alias("name")
+    if first is None or first["path"].split(":")[0] in OPENED:
+        ship(spark)
+        return listed.select("path", name, "length", _head_of("path").alias("head"), F.lit(None).cast("binary").alias("content"))
+    small = files.filter(F.col("length") < SPARK_LIMIT).select("path", name, "length", F.substring("content", 1, HEAD).alias("head"), "content")
+    none = F.lit(None).cast("binary")
+    return small.union(listed.filter(F.col("length") >= SPARK_LIMIT).select("path", name, "length", none, none))
 
 
 def eligible(files: DataFrame, max_bytes: int = MAX_BYTES, skip_endings=SKIPPED_ENDINGS) -> DataFrame:
@@ -281,23 +318,19 @@ def eligible(files: DataFrame, max_bytes: int = MAX_BYTES, skip_endings=SKIPPED_
 
 
 def sniff(files: DataFrame, registry: SnifferRegistry = REGISTRY) -> DataFrame:
-    """path, name, length, content -> path, name, size_bytes, size, kind, facts, parsed (JSON of the parser's facts)."""
+    """path, name, length, head, content -> path, name, size_bytes, size, kind, facts, parsed (JSON of the parser's facts)."""
     ship(files.sparkSession)
     known = registry.sniffers()
-    head = F.substring("content", 1, HEAD)
-    chain = facts = None
+    chain, facts = F.when(F.col("head").isNull(), "unread"), None
     for s in known:
-        test = F.coalesce(s.test(F.col("path"), F.col("head")), F.lit(False))
-        chain = F.when(test, s.name) if chain is None else chain.when(test, s.name)
-    kinds = files.withColumn("head", head).withColumn("kind", chain)
+        chain = chain.when(F.coalesce(s.test(F.col("path"), F.col("head")), F.lit(False)), s.name)
+    kinds = files.withColumn("kind", chain)
     for s in known:
         own = s.facts(F.col("path"), F.col("head"))
         facts = F.when(F.col("kind") == s.name, own) if facts is None else facts.when(F.col("kind") == s.name, own)
     needs = F.col("kind").isin(*PARSERS)
-    return kinds.select(
-        "path", "name", F.col("length").alias("size_bytes"), format_bytes(F.col("length")).alias("size"), "kind", facts.alias("facts"),
-        F.when(needs, _parse(F.when(needs, F.col("kind")), F.when(needs, F.col("content")))).alias("parsed"),
-    )
+    parsed = _parse(F.when(needs, F.col("kind")), F.when(needs, F.col("path")), F.when(needs, F.col("head")), F.when(needs, F.col("content")))
+    return kinds.select("path", "name", F.col("length").alias("size_bytes"), format_bytes(F.col("length")).alias("size"), "kind", facts.alias("facts"), F.when(needs, parsed).alias("parsed"))
 
 
 def sniff_files(spark: SparkSession, path: str, **how) -> DataFrame:
@@ -305,15 +338,33 @@ def sniff_files(spark: SparkSession, path: str, **how) -> DataFrame:
 
 
 def directory_tree(sniffed: DataFrame, root: str, max_depth: int = 3, max_files: int = 100) -> DataFrame:
-    """The files under a root up to a depth, directories first, then by name; the first max_files of them."""
+    """(relative, depth, is_dir, line) of the directories and files under a root, to a depth: of each directory first its
+    directories, then its files, by name; the first max_files files and the directories among them."""
+    inner = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/")) + "/", "")
+    parts = F.split("relative", "/")
+    files = sniffed.withColumn("relative", inner).withColumn("parts", parts).withColumn("depth", F.size("parts"))
+    what = F.concat(F.lit(" ("), F.col("kind"), F.lit(", "), F.col("size"), F.lit(")"))
+    # names of directories sort before those of files, level by level; a directory before what is in it
+    place = lambda parts, dirs: F.concat_ws("/", F.transform(parts, lambda p, i: F.concat(F.when(i < dirs, "0").otherwise("1"), p)))
+    indent = lambda depth: F.repeat(F.lit("  "), depth - 1)
+    leaves = files.filter(F.col("depth") <= max_depth).withColumn("place", place(F.col("parts"), F.col("depth") - 1))
+    leaves = leaves.orderBy("place").limit(max_files).select("relative", "depth", F.lit(False).alias("is_dir"), "place", F.concat(indent(F.col("depth")), F.col("name"), what).alias("line"))
+    levels = F.sequence(F.lit(1), F.greatest(F.least(F.size("parts") - 1, F.lit(max_depth)), F.lit(1)))
+    above = files.select("parts", F.explode(F.when(F.size("parts") > 1, levels)).alias("d"))
+    above = above.select(F.slice("parts", 1, F.col("d")).alias("own"), "d").distinct()
+    dirs = above.select(F.concat_ws("/", "own").alias("relative"), F.col("d").alias("depth"), F.lit(True).alias("is_dir"), place(F.col("own"), F.col("d")).alias("place"), F.concat(indent(F.col("d")), F.get("own", F.col("d") - 1), F.lit("/")).alias("line"))
+    last = leaves.agg(F.max("place").alias("last"), F.count("*").alias("n"))
+    shown = dirs.join(F.broadcast(last)).filter(F.coalesce(F.col("place") <= F.col("last"), F.lit(True)) | (F.col("n") < max_files)).select(*leaves.columns)  # one row is broadcast
+    return leaves.union(shown).orderBy("place").select("relative", "depth", "is_dir", "line")
+
+
+def directory_counts(sniffed: DataFrame, root: str | None = None) -> DataFrame:
+    """One row: files, and directories below the root that hold files, at whatever depth; without a root, all that do."""
+    folder = F.regexp_extract("path", "^(.*)/", 1)
+    if root is None:
+        return sniffed.agg(F.count("*").alias("n_files"), F.count_distinct(folder).alias("n_dirs"))
     inner = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/")) + "/", "")
     parts = F.split(inner, "/")
-    listed = sniffed.withColumn("relative", inner).withColumn("depth", F.size(parts)).filter(F.col("depth") <= max_depth)
-    line = F.concat(F.repeat(F.lit("  "), F.col("depth") - 1), F.col("name"), F.lit(" ("), F.col("kind"), F.lit(", "), F.col("size"), F.lit(")"))
-    order = [F.col("depth").desc(), F.col("relative")]
-    return listed.withColumn("line", line).orderBy(*order).limit(max_files).select("relative", "depth", "name", "kind", "size", "line")
-
-
-def directory_counts(sniffed: DataFrame) -> DataFrame:
-    """One row: files and directories that hold files."""
-    return sniffed.agg(F.count("*").alias("n_files"), F.count_distinct(F.regexp_extract("path", "^(.*)/", 1)).alias("n_dirs"))
+    dirs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda d: F.concat_ws("/", F.slice(parts, 1, d)))
+    every = sniffed.select(F.explode_outer(F.when(F.size(parts) > 1, dirs)).alias("d"), F.col("path").alias("p"))
+    return every.agg(F.count_distinct("p").alias("n_files"), F.count_distinct("d").alias("n_dirs"))

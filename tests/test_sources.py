@@ -82,7 +82,7 @@ def test_sniffers(spark, folder):
     assert facts["a.npy"]["dtype"] == "<f4" and facts["a.npy"]["shape"] == "(2, 3)"
     assert parsed["a.db"] == {"table_count": 1, "tables": {"t": {"columns": ["x", "y"], "rows": 1}}}
     assert parsed["a.zip"] == {"entry_count": 2, "entries": ["one.txt", "two.txt"]} and parsed["a.tar"]["entries"] == ["inner.gif"]
-    assert (facts["a.wav"]["channels"], facts["a.wav"]["frames"], facts["a.wav"]["duration"]) == ("2", "8000", "1.0")
+    assert parsed["a.wav"] == {"channels": 2, "sample_rate": 8000, "sample_width": 2, "frames": 8000, "duration": 1.0}
     assert facts["a.pdf"]["version"] == "1.7" and facts["a.pkl"]["protocol"] == "4" and parsed["a.pkl"]["globals"] == ["json.decoder.JSONDecoder"]
     assert parsed["a.toml"] == {"keys": ["tool"]}
     assert {n: facts[n]["text_format"] for n in ("a.json", "a.jsonl", "a.yaml", "a.csv", "a.html", "one")} == {"a.json": "json", "a.jsonl": "jsonl", "a.yaml": "yaml", "a.csv": "csv", "a.html": "html", "one": "json"}
@@ -93,7 +93,10 @@ def test_sniffers(spark, folder):
 def test_directory_and_registry(spark, folder):
     sniffed = S.sniff_files(spark, str(folder))
     tree = S.directory_tree(sniffed, str(folder), max_files=3).collect()
-    assert len(tree) == 3 and tree[0]["relative"] == "sub/b.txt"
+    assert [r["line"] for r in tree][:2] == ["sub/", "  b.txt (text, 4.0 B)"] and [r["relative"] for r in tree][2:] == ["BMnotes.txt", "a.bmp"]
+    every = [r["relative"] for r in S.directory_tree(sniffed, str(folder)).collect()]
+    assert every[:2] == ["sub", "sub/b.txt"] and every[2:] == sorted(p.name for p in folder.iterdir() if p.is_file())
+    assert tuple(S.directory_counts(sniffed, str(folder)).first()) == (len(every) - 1, 1)
     assert S.directory_counts(sniffed).first()["n_dirs"] == 2
     assert S.read_files(spark, str(folder), pattern="*.csv").count() == 1
     names = {r["name"] for r in S.eligible(S.read_files(spark, str(folder))).select("name").collect()}
@@ -134,6 +137,45 @@ def test_describe_path(spark, folder):
     deep = describe_path(spark, str(folder / "a.csv"), deep=True).content
     assert deep.startswith("'a.csv': csv file (12.0 B). A Spark DataFrame with 2 rows and 2 columns.")
     tree = describe_path(spark, str(folder)).content
-    assert "files in 2 directories" in tree and "a.png" in tree
+    assert "files in 1 directories" in tree and "a.png" in tree and "sub/" in tree
     with pytest.raises(readers.RefusedError):
         describe_path(spark, str(folder / "a.pkl"), deep=True)
+
+
+def test_large_and_odd_files(spark, tmp_path):
+    from factlens import describe_path
+
+    with open(tmp_path / "large.txt", "wb") as f:  # over 100 MB
+        f.write(b"word " * 20_000)
+        f.truncate(101_000_000)
+        f.seek(100_999_990)
+        f.write(b"the end...")
+    (tmp_path / "zeros.log").write_bytes(b"line\n" * 20_200_000)
+    found = {r["name"]: r for r in S.sniff_files(spark, str(tmp_path)).collect()}
+    assert found["zeros.log"]["kind"] == "text" and found["zeros.log"]["size_bytes"] == 101_000_000
+    assert found["large.txt"]["kind"] == "text"
+    assert describe_path(spark, str(tmp_path / "zeros.log")).content == "'zeros.log': text file (96.3 MB)."
+    assert "(2 files in 0 directories)" in describe_path(spark, str(tmp_path)).content
+    t = readers.load(spark, str(tmp_path / "zeros.log")).first()
+    assert t["truncated"] and t["text"].startswith("line\nline\n")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        describe_path(spark, str(tmp_path / "none.txt"))
+
+
+def test_more_endings(spark, tmp_path):
+    np.savez(tmp_path / "a.npz", x=np.arange(3), y=np.ones((2, 2)))
+    got = {r["name"]: (r["shape"], r["values"]) for r in readers.load(spark, str(tmp_path / "a.npz")).collect()}
+    assert got == {"x": ([3], [0.0, 1.0, 2.0]), "y": ([2, 2], [1.0] * 4)}
+    spark.range(4).write.parquet(str(tmp_path / "t.pq"))
+    assert readers.load(spark, str(tmp_path / "t.pq")).count() == 4
+    head = struct.pack("<4sI4s4sI", b"RIFF", 100, b"WAVE", b"LIST", 4) + b"INFO"
+    (tmp_path / "odd.wav").write_bytes(head + struct.pack("<4sIHHIIHH", b"fmt ", 16, 1, 1, 8000, 16000, 2, 16) + struct.pack("<4sI", b"data", 8) + b"\0" * 8)
+    assert json.loads(S.sniff_files(spark, str(tmp_path / "odd.wav")).first()["parsed"]) == {"channels": 1, "sample_rate": 8000, "sample_width": 2, "frames": 4, "duration": 0.001}
+
+
+def test_files_that_only_spark_can_open(spark, folder, monkeypatch):
+    monkeypatch.setattr(S, "OPENED", {})
+    found = {r["name"]: r for r in S.sniff_files(spark, str(folder)).collect()}
+    assert found["a.zip"]["kind"] == "zip" and json.loads(found["a.zip"]["parsed"])["entry_count"] == 2 and found["a.csv"]["kind"] == "structured"
+    monkeypatch.setattr(S, "SPARK_LIMIT", 100)
+    assert {r["name"]: r["kind"] for r in S.sniff_files(spark, str(folder)).collect()}["a.txt"] == "unread"

@@ -217,3 +217,23 @@ def test_streams(spark, tmp_path):
 
 def test_numpy_scalars():
     assert describe(np.int32(7)).content == "A numpy int32 scalar with value 7."
+
+
+def test_order_stats_narrow_down(spark):
+    """Slices small enough that several rounds are needed: spread, clustered, tied and extreme values, nulls and NaN."""
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(4000):
+        tied = rng.choice([1.0, 2.0, 2.0, 3.0])
+        near = 1.7e9 + i * 1e-3
+        wide = rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 308)
+        rows.append((None if i % 7 == 0 else tied, near, float("nan") if i % 11 == 0 else wide, i % 3))
+    df = spark.createDataFrame(rows, "tied double, near double, wide double, few int").withColumn("none", F.lit(None).cast("double"))
+    got = {r["column"]: r for r in profile.order_stats(df, parts=8, few=40).collect()}
+    assert set(got) == {"tied", "near", "wide", "few"}
+    for j, name in enumerate(("tied", "near", "wide", "few")):
+        x = sorted(r[j] for r in rows if r[j] is not None and r[j] == r[j])
+        n = len(x)
+        assert tuple(got[name]) == (name, n, x[n // 4], (x[(n - 1) // 2] + x[n // 2]) / 2, x[3 * n // 4])

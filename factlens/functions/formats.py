@@ -12,7 +12,7 @@ import re
 import xml.etree.ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,6 +113,15 @@ def infer_type(values: Column) -> Column:
     return chain.otherwise("str")
 
 
+def infer_types(rows: DataFrame, column: str, value: str) -> DataFrame:
+    """(column, type) over all rows of (column, value): the first type that every value matches, else str; one aggregation."""
+    tests = [F.bool_and(F.coalesce(F.col(value).rlike(rf"^(?:{regex})$") & ~F.col(value).rlike(r"\n"), F.lit(False))).alias(name) for name, regex in COLUMN_TYPES]
+    chain = None
+    for name, _ in COLUMN_TYPES:
+        chain = F.when(F.col(name), name) if chain is None else chain.when(F.col(name), name)
+    return rows.groupBy(column).agg(*tests).select(column, chain.otherwise("str").alias("type"))
+
+
 def type_of_values(values: list[str]) -> str:
     return next((n for n, regex in COLUMN_TYPES if all(re.fullmatch(regex, v or "") for v in values)), "str")
 
@@ -178,7 +187,7 @@ def format_sentence(f: Column) -> Column:
     keys = F.concat_ws(", ", f["keys"])
     csv_text = F.concat(
         F.lit("A CSV string with "), f["rows"], F.lit(" rows and "), f["columns"], F.lit(" columns ("), f["delimiter"], F.lit("-delimited). Header: "),
-        F.concat_ws(", ", f["header"]), F.lit(". Column types: "), F.concat_ws(", ", f["column_types"]), F.lit(". Best displayed as sortable table."),
+        F.concat_ws(", ", f["header"]), F.lit('. Sample: ["'), F.concat_ws('", "', f["sample_row"]), F.lit('"]. Column types: '), F.concat_ws(", ", f["column_types"]), F.lit(". Best displayed as sortable table."),
     )
     return (
         F.when(f["format"] == "csv", csv_text)

@@ -240,9 +240,9 @@ def profile(df: DataFrame) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, k: int, keys: list[str], seed: int = 0) -> DataFrame:
-    """Exactly k rows (or all), the same for the same data however it is partitioned: the lowest hashes of the keys."""
-    h = F.xxhash64(*[quoted(c) for c in keys], F.lit(seed))
-    return df.withColumn("__h", h).orderBy("__h", *[quoted(c) for c in keys]).limit(k).drop("__h")
+    """Exactly k rows (or all), the same for the same data however it is partitioned: the lowest md5 of seed and keys."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[quoted(c).cast("string") for c in keys])
+    return df.withColumn("__h", F.md5(text.cast("binary"))).orderBy("__h", *[quoted(c) for c in keys]).limit(k).drop("__h")
 
 
 def head(df: DataFrame, n: int = 5) -> tuple[list, bool]:

@@ -52,3 +52,10 @@ def map_value_stats(df: DataFrame, column: str) -> DataFrame:
     """(key, n, min, max, mean) of the values of a map<string, number> column."""
     pairs = df.select(F.explode(F.col(column)).alias("key", "value"))
     return pairs.groupBy("key").agg(F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"))
+
+
+def category_counts(df: DataFrame, column: str) -> DataFrame:
+    """(category, n, share) of the non-null values; of as many categories as there are."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("category")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    return counts.join(F.broadcast(total)).select("category", "n", (F.col("n") / F.col("total")).alias("share"))  # one row is broadcast

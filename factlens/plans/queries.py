@@ -275,11 +275,18 @@ def text_stats(spark, sf_dir):
 
 @query(
     "string_sentence",
-    f"""SELECT CASE WHEN length(source || lang) < 100 AND {_short_pattern_sql("url")} IS NOT NULL THEN 'A string containing a ' || {_short_pattern_sql("url")} || ': ''' || url || '''.'
-        ELSE 'A string ''' || url || ''' (' || length(url) || ' characters).' END AS sentence FROM (SELECT url, '' AS source, '' AS lang FROM pages WHERE length(url) < 100)""",
+    f"""SELECT src, id, CASE WHEN length(s) >= 100 THEN 'A ' || {_DOCTYPE.format(s="s")} || ' document string (' || length(s) || ' chars).'
+        WHEN {_short_pattern_sql("s")} IS NOT NULL THEN 'A string containing a ' || {_short_pattern_sql("s")} || ': ''' || s || '''.'
+        ELSE 'A string ''' || s || ''' (' || length(s) || ' characters).' END AS sentence
+      FROM (SELECT 'pages' AS src, page_id AS id, url AS s FROM pages UNION ALL SELECT 'documents', doc_id, text FROM documents UNION ALL SELECT 'events', event_id, props FROM events)""",
 )
 def string_sentence(spark, sf_dir):
-    return table(spark, sf_dir, "pages").filter(F.length("url") < 100).select(strings.string_sentence(F.col("url")).alias("sentence"))
+    """Short and long strings, whatever their length."""
+    out = None
+    for n, i, c in (("pages", "page_id", "url"), ("documents", "doc_id", "text"), ("events", "event_id", "props")):
+        one = table(spark, sf_dir, n).select(F.lit(n).alias("src"), F.col(i).alias("id"), strings.string_sentence(F.col(c)).alias("sentence"))
+        out = one if out is None else out.union(one)
+    return out
 
 
 @query("json_keys", "SELECT k AS key, count(*)::BIGINT AS n FROM (SELECT unnest(json_keys(props)) AS k FROM events) GROUP BY k")
@@ -318,12 +325,6 @@ def counter_facts(spark, sf_dir):
     return records.counter_facts(table(spark, sf_dir, "orders"), "o_custkey")
 
 
-@query("map_value_stats", """SELECT event_type AS key, count(value)::BIGINT AS n, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean FROM events GROUP BY event_type""")
-def map_value_stats(spark, sf_dir):
-    m = table(spark, sf_dir, "events").select(F.create_map("event_type", "value").alias("m"))
-    return _rounded(records.map_value_stats(m, "m"), ["mean"])
-
-
 @query("html_detect", rf"""SELECT page_id, regexp_matches(html, '{formats.HTML}') AS is_html, CASE WHEN regexp_matches(html, '{formats.HTML}') THEN 'html' END AS format FROM pages""")
 def html_detect(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
@@ -468,32 +469,6 @@ def format_bytes(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", formatting.format_bytes(F.col("o_orderkey") * F.col("o_orderkey") * 7).alias("size"))
 
 
-@query("label_counts", "SELECT label, count(*)::BIGINT AS n FROM embeddings GROUP BY label")
-def label_counts(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
-
-
-@query("uuid_facts", """SELECT doc_id, 4::INTEGER AS version, 'specified in RFC 4122' AS variant FROM documents""")
-def uuid_facts(spark, sf_dir):
-    h = F.md5(F.col("doc_id").cast("string").cast("binary"))
-    u = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("4"), F.substring(h, 14, 3)), F.concat(F.lit("a"), F.substring(h, 18, 3)), F.substring(h, 21, 12))
-    return table(spark, sf_dir, "documents").select("doc_id", datetimes.uuid_facts(u).alias("f")).select("doc_id", "f.version", "f.variant")
-
-
-@query("text_format")
-def text_format(spark, sf_dir):
-    """XML roots and CSV dialects need parsers, so there is no SQL; tests compare with plain Python."""
-    both = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("props").alias("s")).union(table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    f = formats.text_format(F.col("s"))
-    return both.select("id", f.alias("f")).select("id", "f.format", "f.keys", formats.format_sentence(F.col("f")).alias("sentence"))
-
-
-@query("deterministic_sample")
-def deterministic_sample(spark, sf_dir):
-    """A sampling operator: 100 rows, the same however the table is partitioned; hashes differ between engines."""
-    return profile.sample_rows(table(spark, sf_dir, "orders"), 100, ["o_orderkey"])
-
-
 @query(
     "pattern_confidence",
     """WITH t AS (SELECT l_quantity AS x FROM lineitem), n AS (SELECT count(x) AS n FROM t),

@@ -6,7 +6,7 @@ programming over the cells (each with its count, sum and longest length) chooses
 padding in total, if documents are padded to their bucket's longest.
 
 Inside a bucket, documents go into batches of at most `budget` padded tokens. A bucket is dealt into shards by a hash
-of the id, as many as its count needs, and each shard numbers its documents by itself: no bucket is sorted in one
+of the id, as many as its count and its words need, and each shard numbers its documents by itself: no bucket is sorted in one
 task, and only a shard's last batch can be partly filled. A document longer than the budget is a batch of its own.
 """
 
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from factlens.llm import text as T
 from factlens.llm.store import written
 
-SHARD_ROWS = 20_000
+#: A shard has about so many documents or words, whichever are reached first.
+SHARD_ROWS, SHARD_WORDS = 20_000, 4_000_000
 
 
 def cell(length: Column, exact: int = 1024) -> Column:
@@ -78,10 +79,11 @@ def pack(
     ends = boundaries(*(np.array([r[k] for r in cells], float) for k in ("n", "total", "longest")), buckets) if cells else []
     if not ends:
         ends = [0]
-    counts = [0] * len(ends)
+    counts, words = [0] * len(ends), [0] * len(ends)
     for r in cells:
-        counts[int(np.searchsorted(ends, r["longest"]))] += r["n"]
-    shards = [max(1, -(-n // SHARD_ROWS)) for n in counts]
+        i = int(np.searchsorted(ends, r["longest"]))
+        counts[i], words[i] = counts[i] + r["n"], words[i] + r["total"]
+    shards = [max(1, -(-n // SHARD_ROWS), -(-w // SHARD_WORDS)) for n, w in zip(counts, words, strict=True)]
     per_batch = [max(1, budget // max(1, e)) for e in ends]
     bucket = sum((F.when(F.col("length") > e, 1).otherwise(0) for e in ends[:-1]), F.lit(0))
     pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("bucket"))

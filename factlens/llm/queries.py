@@ -203,6 +203,26 @@ def planted_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, bad)
 
 
+@_query(
+    "planted_secrets",
+    """
+    SELECT c_custkey AS k, list_sort(list_filter([
+        CASE WHEN pad_a <= 200 THEN 'identifier:5:19' END,
+        CASE WHEN pad_a <= 200 THEN 'secret:' || (19 + pad_a) || ':' || (39 + pad_a) END,
+        CASE WHEN pad_a <= 200 AND pad_b <= 200 AND pad_a + 20 + pad_b <= 200 THEN 'endpoint:' || (39 + pad_a + pad_b) || ':' || (62 + pad_a + pad_b) END], lambda x: x IS NOT NULL)) AS linked
+    FROM (SELECT c_custkey, 1 + c_custkey % 7 * 40 AS pad_a, 1 + c_custkey % 11 * 30 AS pad_b FROM customer)
+    """,
+)
+def planted_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An identifier, a secret and an endpoint with gaps of 1 to 301 spaces: which of them count depends on the gaps only."""
+    k = F.col("c_custkey")
+    pads = [F.repeat(F.lit(" "), (1 + k % n * step).cast("int")) for n, step in ((7, 40), (11, 30))]
+    text = F.concat(F.lit("call ASIAABCDEFGHIJ"), pads[0], F.lit("aB3dE5gH7jK9mN1pQ2sT"), pads[1], F.lit("https://db.example.com/"))
+    docs = _table(spark, sf_dir, "customer").select(k.alias("doc_id"), text.alias("text"))
+    spans = F.transform("linked", lambda s: F.concat_ws(":", s["part"], s["start"], s["end"]))
+    return secrets.find_secrets(docs).select(F.col("doc_id").alias("k"), F.sort_array(spans).alias("linked"))
+
+
 @_query("op2_packing")
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))

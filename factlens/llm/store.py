@@ -36,6 +36,8 @@ _WRITTEN: dict[str, SparkSession] = {}
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="factlens-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -53,12 +55,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def release() -> None:
     """Delete all tables that written() made. Results that still read them must be done by then."""
     for path, spark in list(_WRITTEN.items()):
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
+        if spark.sparkContext._jsc is not None:  # else the session has ended; its owner clears the folder
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session has ended; its owner clears the folder
-            pass
         _WRITTEN.pop(path, None)
 
 

@@ -73,7 +73,7 @@ def _slice_of(value: Column, low: Column, high: Column, parts: int) -> Column:
     return F.when(width > 0, F.least(F.floor(share * parts), F.lit(parts - 1))).otherwise(F.lit(0)).cast("int")
 
 
-def order_stats(df: DataFrame, columns: list[str] | None = None, parts: int = 512, few: int = 100_000, rounds: int = 40) -> DataFrame:
+def order_stats(df: DataFrame, columns: list[str] | None = None, parts: int = 512, few: int = 1_000_000, rounds: int = 40) -> DataFrame:
     """A row per numeric column: n (finite), median (mean of the middle two), and q1, q3: the values at the 0-based
     places n // 4 and 3n // 4, for n >= 4.
 
@@ -89,6 +89,7 @@ def order_stats(df: DataFrame, columns: list[str] | None = None, parts: int = 51
     if not names:
         return spark.createDataFrame([], empty)
     values = {n: _as_double(quoted(n))[3] for n in names}
+    long = unpivoted(df, names, "double").filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
     ends = df.agg(*[f(v).alias(f"{k}{i}") for i, v in enumerate(values.values()) for k, f in (("n", F.count), ("low", F.min), ("high", F.max))]).first()
     # (column, place) -> rows before the range, rows in it, its ends; four to a column
     open_ = {}
@@ -104,7 +105,7 @@ def order_stats(df: DataFrame, columns: list[str] | None = None, parts: int = 51
         if not ranges:
             break
         index = {r: j for j, r in enumerate(ranges)}
-        found = _sliced(df, values, ranges, parts).groupBy("i", "s").agg(F.count("*").alias("c"), F.min("value").alias("low"), F.max("value").alias("high")).collect()
+        found = _sliced(long, ranges, parts).groupBy("i", "s").agg(F.count("*").alias("c"), F.min("value").alias("low"), F.max("value").alias("high")).collect()
         slices: dict[int, list] = {}
         for r in sorted(found, key=lambda r: (r["i"], r["s"])):  # parts rows for each range, four ranges a column at most
             slices.setdefault(r["i"], []).append(r)
@@ -118,7 +119,7 @@ def order_stats(df: DataFrame, columns: list[str] | None = None, parts: int = 51
                 at -= r["c"]
     ranges = sorted({(name, low, high) for (name, _), (_, _, low, high) in open_.items()})
     index = {r: j for j, r in enumerate(ranges)}
-    counts = _sliced(df, values, ranges, 1).groupBy("i", "value").agg(F.count("*").alias("c"))
+    counts = _sliced(long, ranges, 1).groupBy("i", "value").agg(F.count("*").alias("c"))
     asked = [(index[name, low, high], name, place, at, ends[f"n{names.index(name)}"]) for (name, place), (at, _, low, high) in open_.items()]
     asked = spark.createDataFrame(asked, "i int, column string, place string, at long, n long")
     inside = Window.partitionBy("i").orderBy("value")
@@ -129,13 +130,12 @@ def order_stats(df: DataFrame, columns: list[str] | None = None, parts: int = 51
     return hits.select("column", "n", four("q1").alias("q1"), ((F.col("m1") + F.col("m2")) / 2).alias("median"), four("q3").alias("q3"))
 
 
-def _sliced(df: DataFrame, values: dict[str, Column], ranges: list[tuple[str, float, float]], parts: int) -> DataFrame:
-    """(i, s, value) of the values inside the i-th range and the slice s they lie in."""
-    rows = []
-    for i, (name, low, high) in enumerate(ranges):
-        v, a, b = values[name], F.lit(float(low)), F.lit(float(high))
-        rows.append(F.when(v.between(a, b), F.struct(F.lit(i).alias("i"), _slice_of(v, a, b, parts).alias("s"), v.alias("value"))))
-    return df.select(F.explode(F.array_compact(F.array(*rows))).alias("r")).select("r.*")
+def _sliced(long: DataFrame, ranges: list[tuple[str, float, float]], parts: int) -> DataFrame:
+    """(i, s, value) of the values inside the i-th range of their column and the slice s they lie in."""
+    rows = [(i, name, float(low), float(high)) for i, (name, low, high) in enumerate(ranges)]
+    at = long.sparkSession.createDataFrame(rows, "i int, c string, low double, high double")  # four to a column at most
+    inside = long.join(F.broadcast(at), (F.col("column") == F.col("c")) & F.col("value").between(F.col("low"), F.col("high")))
+    return inside.select("i", _slice_of(F.col("value"), F.col("low"), F.col("high"), parts).alias("s"), "value")
 
 
 def null_counts(df: DataFrame) -> DataFrame:

@@ -471,7 +471,7 @@ def _same_id(linkable: DataFrame, classes: DataFrame) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80,
-    trees: int = 24, node_limit: int = 1536, levels: int = 6, finish: int = 50_000_000, block_shingles: int = 1_500_000, seed: int = 20_240_501,
+    trees: int = 24, node_limit: int = 1536, levels: int = 6, finish: int = 50_000_000, block_shingles: int = 750_000, seed: int = 20_240_501,
 ) -> DataFrame:
     """A row per input row: doc_id, n_shingles, component_id (least id reachable), kept (the id is the component's).
 

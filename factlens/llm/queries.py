@@ -203,6 +203,34 @@ def planted_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, bad)
 
 
+@_query(
+    "planted_pictures",
+    """
+    SELECT id, 16 AS height, 32 AS width, 1536 AS n_bytes,
+      array_to_string(list_transform(range(8), lambda i: array_to_string([
+        greatest(0, least(255, round(y[i + 1] + 1.402 * cr[i % 4 // 2 + 1])))::INTEGER,
+        greatest(0, least(255, round(y[i + 1] - 0.344136 * cb[i % 4 // 2 + 1] - 0.714136 * cr[i % 4 // 2 + 1])))::INTEGER,
+        greatest(0, least(255, round(y[i + 1] + 1.772 * cb[i % 4 // 2 + 1])))::INTEGER], ',')), ';') AS pixels
+    FROM (
+      SELECT p_partkey AS id, list_transform(range(8), lambda i: 48 + (p_partkey * 7 + i * 23) % 161) AS y,
+        list_transform(range(2), lambda u: (p_partkey * 5 + u * 31) % 81 - 40) AS cb, list_transform(range(2), lambda u: (p_partkey * 3 + u * 17) % 81 - 40) AS cr
+      FROM part)
+    """,
+)
+def planted_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A progressive 4:2:0 picture of 32 x 16 pixels a part, decoded into a tensor: the colour of one pixel in each block
+    of luma, with the upsampled chroma of its unit."""
+    k = F.col("p_partkey")
+    # luma in raster order of 2 x 4 blocks is block i; the file has them unit by unit
+    luma = F.array(*[(k * 7 + i * 23) % 161 - 80 for i in (0, 1, 4, 5, 2, 3, 6, 7)])
+    chroma = [F.array(*[(k * a + u * b) % 81 - 40 for u in (0, 1)]) for a, b in ((5, 31), (3, 17))]
+    parts = _table(spark, sf_dir, "part").select(k.alias("id"), luma.alias("luma"), chroma[0].alias("blue"), chroma[1].alias("red"))
+    places = [(i // 4 * 8 + i * 3 % 8) * 32 + i % 4 * 8 + i * 5 % 8 for i in range(8)]
+    value = lambda at: F.conv(F.hex(F.substring("rgb", at + 1, 1)), 16, 10)
+    pixels = F.concat_ws(";", *[F.concat_ws(",", *[value(3 * p + c) for c in range(3)]) for p in places])
+    return media.decode_media(media.flat_pictures(parts)).select("id", "height", "width", F.octet_length("rgb").alias("n_bytes"), pixels.alias("pixels"))
+
+
 @_query(
     "planted_secrets",
     """

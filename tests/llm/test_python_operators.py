@@ -429,6 +429,19 @@ def test_progressive_decoder(sampling, width, height):
     assert np.abs(media.samples(picture, picture.components[0])[:8, :8] - want).max() <= 1
 
 
+@pytest.mark.parametrize("units", [1, 2, 3, 40])
+def test_flat_pictures(units):
+    rng = np.random.default_rng(units)
+    luma, blue, red = (rng.integers(-127, 128, n).tolist() for n in (4 * units, units, units))
+    rgb = media.decode(media.flat_picture(luma, blue, red)).astype(int)
+    assert rgb.shape == (16, 16 * units, 3)
+    for r, c in [(0, 0), (7, 8), (8, 7), (15, 15)]:
+        for u in range(units):
+            y = 128 + luma[4 * u + r // 8 * 2 + c // 8]
+            want = [y + 1.402 * red[u], y - 0.344136 * blue[u] - 0.714136 * red[u], y + 1.772 * blue[u]]
+            assert np.abs(rgb[r, 16 * u + c] - np.clip(want, 0, 255)).max() <= 0.51
+
+
 def test_chroma_is_upsampled():
     coefs = [np.zeros((4, 64), int), np.zeros((1, 64), int), np.zeros((1, 64), int)]
     coefs[2][0][0] = 200  # red all over

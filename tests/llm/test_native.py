@@ -362,6 +362,39 @@ def test_many_tokens_of_one_template_cost_no_more(spark):
     assert {r["key"] for r in urls.blocked(asked, rules).collect()} == {1, 3}
 
 
+def test_all_tokens_of_an_address_are_combined(spark):
+    """Addresses of up to 20 nested tokens and two more, the least telling ones by themselves, that are bad together."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(4000):
+        x, y = rng.random() < 0.1, rng.random() < 0.1
+        tokens = [f"key:{k:02d}" for k in range(i % 21)] + ["path:x"] * x + ["path:y"] * y
+        rows.append((sorted(tokens), (x and y) or (not x and not y and rng.random() < 0.3)))
+    rules = urls.mined_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean"))
+    assert [(r["tokens"], r["confidence"]) for r in rules.collect()] == [(["path:x", "path:y"], 1.0)]
+    asked = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "key long, tokens array<string>")
+    assert {r["key"] for r in urls.blocked(asked, rules).collect()} == {i for i, (t, _) in enumerate(rows) if {"path:x", "path:y"} <= set(t)}
+
+
+def test_longer_rules_equal_counting(spark):
+    from itertools import combinations
+
+    found = 0
+    for seed in (1, 2, 3, 4):
+        rng = random.Random(seed)
+        rows = [(sorted(t for t in "abcdefgh" if rng.random() < 0.6), rng.random() < 0.25) for _ in range(60)]
+        rows = [(t, b or {"a", "c", "f"} <= set(t) or {"b", "g"} == set(t) & set("bgh")) for t, b in rows] * 3
+        got = urls.mined_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), confidence=0.8, least_count=9)
+        want = {}
+        for c in (c for k in range(1, 9) for c in combinations("abcdefgh", k)):
+            has = [b for t, b in rows if set(c) <= set(t)]
+            if sum(has) >= 9 and sum(has) / len(has) >= 0.8 and not any(set(d) <= set(c) for d in want):
+                want[c] = sum(has) / len(has)
+        assert {tuple(r["tokens"]): r["confidence"] for r in got.collect()} == want
+        found += sum(len(c) > 2 for c in want)
+    assert found > 5
+
+
 def test_unit_hash_is_a_plain_md5(spark):
     got = spark.createDataFrame([(5,), (None,)], "v long").select(T.unit_hash(F.col("v"), 17).alias("u")).collect()
     want = [(int(hashlib.md5(f"{v}:17".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for v in ("5", "")]

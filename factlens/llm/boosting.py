@@ -1,7 +1,7 @@
-"""Gradient-boosted trees on a bounded numeric sample, and their score as one Column expression.
+"""Gradient-boosted trees on weighted numeric rows, and their score as one Column expression.
 
-Training runs in numpy on the driver over at most the rows it is given. Scoring has no Python at all: a tree
-is a nested CASE on feature columns.
+Training runs in numpy on the driver over the rows it is given, equal ones as one with their number as weight. Scoring
+has no Python at all: a tree is a nested CASE on feature columns.
 """
 
 from __future__ import annotations
@@ -48,14 +48,20 @@ class Boosted:
         return 1.0 / (1.0 + F.exp(-total))
 
 
-def fit(x: np.ndarray, y: np.ndarray, names: list[str], rounds: int = 20, depth: int = 2, rate: float = 0.3, cuts: int = 16, l2: float = 1.0) -> Boosted:
-    """Newton boosting of the logistic loss; splits at up to `cuts` quantiles of each feature."""
+def fit(
+    x: np.ndarray, y: np.ndarray, names: list[str], rounds: int = 20, depth: int = 2, rate: float = 0.3, cuts: int = 16, l2: float = 1.0,
+    weight: np.ndarray | None = None, edges: list[np.ndarray] | None = None,
+) -> Boosted:
+    """Newton boosting of the logistic loss; splits at up to `cuts` quantiles of each feature, or at the given edges."""
     x, y = np.asarray(x, float), np.asarray(y, float)
-    p0 = (y.sum() + 1) / (len(y) + 2)
+    w = np.ones(len(y)) if weight is None else np.asarray(weight, float)
+    p0 = ((w * y).sum() + 1) / (w.sum() + 2)
     model = Boosted(list(names), float(np.log(p0 / (1 - p0))))
     if not len(y):
         return model
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, cuts + 1)[:-1])) for j in range(x.shape[1])]
+    if edges is None:
+        edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, cuts + 1)[:-1])) for j in range(x.shape[1])]
+    bins = [np.searchsorted(at, x[:, j]) for j, at in enumerate(edges)]  # of bin b: at most the edge b
     margin = np.full(len(y), model.base)
 
     def grow(rows, g, h, left_depth):
@@ -63,15 +69,11 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], rounds: int = 20, depth:
         best = (1e-6, None, None)
         if left_depth:
             for j, at in enumerate(edges):
-                for c in at:
-                    left = x[rows, j] <= c
-                    gl, hl = g[rows][left].sum(), h[rows][left].sum()
-                    gr, hr = total_g - gl, total_h - hl
-                    if min(hl, hr) < 0.5:
-                        continue
-                    gain = gl**2 / (hl + l2) + gr**2 / (hr + l2) - total_g**2 / (total_h + l2)
-                    if gain > best[0]:
-                        best = (gain, j, float(c))
+                gl, hl = (np.cumsum(np.bincount(bins[j][rows], v[rows], len(at) + 1))[:-1] for v in (g, h))
+                gr, hr = total_g - gl, total_h - hl
+                gain = np.where(np.minimum(hl, hr) < 0.5, 0.0, gl**2 / (hl + l2) + gr**2 / (hr + l2) - total_g**2 / (total_h + l2))
+                if len(at) and gain.max() > best[0]:
+                    best = (gain.max(), j, float(at[gain.argmax()]))
         if best[1] is None:
             return float(-rate * total_g / (total_h + l2))
         left = x[rows, best[1]] <= best[2]
@@ -80,7 +82,7 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], rounds: int = 20, depth:
     every = np.arange(len(y))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-margin))
-        tree = grow(every, p - y, p * (1 - p), depth)
+        tree = grow(every, w * (p - y), w * p * (1 - p), depth)
         model.trees.append(tree)
         margin = margin + Boosted(model.names, 0.0, [tree]).margin(x)
     return model

@@ -2,13 +2,13 @@
 
 Strict patterns with their checks (part ranges, Luhn, digit counts) give base spans, which always stay.
 High-recall generators propose any longer run of digits and separators, what base spans leave of such a run, and
-masked addresses. Boosted trees learn from a proposal's format and context, not from the checks themselves, on
-bounded samples of what no base span overlaps. Positive examples are proposals with a weak label (a masked
+masked addresses. Boosted trees learn from a proposal's format and context, not from the checks themselves, on all that
+no base span overlaps: equal formats are counted and learnt as one row with their number as weight. Positive examples are proposals with a weak label (a masked
 address that is whole when unmasked, a run of 7 to 15 digits right after a word for a phone, a phone left over of a
 longer run) and base spans written in forms the strict patterns miss (masked, local, dotted) where they stand; all
 others are negative, and so are base spans spoilt in their format (cards with a wrong check digit, addresses with a part
-over 255). On a fold held out, isotonic steps turn scores into probabilities, for each kind by
-itself where it has enough examples; a kind's threshold is the lowest score with the stated precision. Proposals above
+over 255). Scores from models that did not see a row (four folds) are turned into probabilities by isotonic steps, for
+each kind by itself where it has enough examples; a kind's threshold is the lowest score with the stated precision. Proposals above
 it that no base span overlaps are added; of two that overlap, the one with the higher score.
 
 All scanning and scoring are Column expressions. Offsets are code points, end exclusive.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from factlens.llm import boosting
 from factlens.llm import text as T
-from factlens.llm.store import bounded_sample, written
+from factlens.llm.store import written
 
 KINDS = ("email", "ip", "card", "phone")
 # Matches start at the end of the one before or where no character of the run precedes; runs are possessive. That keeps
@@ -249,6 +249,11 @@ def scanned(docs: DataFrame, text_col: str) -> DataFrame:
     return t.withColumn("__proposed", proposed).withColumns(again).drop("__raw")
 
 
+#: Trees split at up to so many quantiles of a feature.
+CUTS = 16
+FOLDS = 4
+
+
 @dataclass
 class Chooser:
     """thresholds: by the number of the kind."""
@@ -261,28 +266,19 @@ def _new(p: Column) -> Column:
     return ~p["known"]
 
 
-def kind_of(f, when=None):
-    """The kind (its number) that a proposal would have, by its features: of a struct Column, or of arrays."""
-    tests = [(f["masked"] > 0, 0), (f["n_digits"] > 15, 2), ((f["n_dots"] == 3) & (f["longest_group"] <= 3), 1)]
-    if when is None:
-        return np.select([t for t, _ in tests], [k for _, k in tests], 3)
-    chain = None
-    for t, k in tests:
-        chain = F.when(t, F.lit(k)) if chain is None else chain.when(t, F.lit(k))
-    return chain.otherwise(F.lit(3))
-
+def kind_of(f) -> Column:
+    """The kind (its number) that a proposal would have, by its features."""
+    chain = F.when(f["masked"] > 0, F.lit(0)).when(f["n_digits"] > 15, F.lit(2))
+    return chain.when((f["n_dots"] == 3) & (f["longest_group"] <= 3), F.lit(1)).otherwise(F.lit(3))
 
-def examples_in(scan: DataFrame) -> tuple[int, int, int]:
-    """How many proposals that no base span overlaps, rendered and spoilt base spans there are."""
-    return tuple(scan.agg(*[F.coalesce(F.sum(F.size(c)), F.lit(0)) for c in (F.filter("__proposed", _new), "__rendered", "__spoilt")]).first())
 
-
-def isotonic(scores: np.ndarray, y: np.ndarray) -> list[tuple[float, float, float, int]]:
+def isotonic(scores: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> list[tuple[float, float, float, int]]:
     """Steps (lowest and highest score, share of positives, rows) from the lowest up, with rising shares: neighbours that fall are pooled."""
     steps: list[list[float]] = []
-    for at in np.unique(scores):
-        tied = y[scores == at]
-        steps.append([float(at), float(at), float(tied.sum()), len(tied)])
+    levels, at = np.unique(scores, return_inverse=True)
+    w = np.ones(len(scores)) if weight is None else weight
+    for level, tied_hits, tied in zip(levels, np.bincount(at, w * y, len(levels)), np.bincount(at, w, len(levels)), strict=True):
+        steps.append([float(level), float(level), float(tied_hits), float(tied)])
         while len(steps) > 1 and steps[-2][2] * steps[-1][3] >= steps[-1][2] * steps[-2][3]:
             _, high, hits, n = steps.pop()
             steps[-1][1] = high
@@ -291,10 +287,10 @@ def isotonic(scores: np.ndarray, y: np.ndarray) -> list[tuple[float, float, floa
     return [(low, high, hits / n, int(n)) for low, high, hits, n in steps]
 
 
-def calibrated(scores: np.ndarray, y: np.ndarray, precision: float, least: int = 5) -> float:
+def calibrated(scores: np.ndarray, y: np.ndarray, precision: float, least: int = 5, weight: np.ndarray | None = None) -> float:
     """The score from which on isotonic steps have `precision`, half way to the step below; above 1 if fewer than `least`
     rows are that high."""
-    steps = isotonic(scores, y)
+    steps = isotonic(scores, y, weight)
     bad = [high for _, high, share, _ in steps if share < precision]
     good = [(low, n) for low, _, share, n in steps if share >= precision]
     if sum(n for _, n in good) < least:
@@ -303,39 +299,71 @@ def calibrated(scores: np.ndarray, y: np.ndarray, precision: float, least: int =
     return (low + max(bad)) / 2 if bad else low
 
 
-def fit(scan: DataFrame, sample: int = 10_000, precision: float = 0.95) -> Chooser:
-    """From at most `sample` proposals that no base span overlaps and as many rendered and spoilt base spans, those with
-    the lowest hashes of their format; a quarter calibrates the thresholds. A kind with under ten rows of either class
-    in that quarter has the threshold of all."""
-    n, n_rendered, n_spoilt = examples_in(scan)
-    every = scan.select(F.explode(F.filter("__proposed", _new)).alias("p")).select("p.start", "p.end", "p.f.*")
-    picked = bounded_sample(every, sample, n, "start", "end", *FEATURES).withColumn("h", F.xxhash64("start", "end", *FEATURES)).collect()
-    again = []
-    for column, total in (("__rendered", n_rendered), ("__spoilt", n_spoilt)):
-        forms = scan.select(F.explode(column).alias("f")).select("f.*")
-        again.append(bounded_sample(forms, sample, total, *FEATURES).withColumn("h", F.monotonically_increasing_id()).collect())
-    rows = [*picked, *again[0], *again[1]]
-    if not rows:
+def _weak(f) -> Column:
+    ran_on = (f["plus"] > 0) & f["n_digits"].between(8, 15)  # a phone that ran into another number
+    return ran_on | (f["whole_address"] > 0) | ((f["asked_phone"] > 0) & (f["masked"] == 0) & (f["dated"] == 0) & f["n_digits"].between(7, 15))
+
+
+def examples(scan: DataFrame) -> DataFrame:
+    """FEATURES, y, n: how many examples have these features: proposals that no base span overlaps, rendered and spoilt base spans."""
+    one = lambda f, y: F.struct(f.alias("f"), y.alias("y"))
+    every = F.concat(
+        F.transform(F.filter("__proposed", _new), lambda p: one(p["f"], _weak(p["f"]))),
+        F.transform("__rendered", lambda f: one(f, F.lit(True))),
+        F.transform("__spoilt", lambda f: one(f, F.lit(False))),
+    )
+    return scan.select(F.explode(every).alias("e")).select("e.f.*", "e.y").groupBy(*FEATURES, "y").agg(F.count("*").alias("n"))
+
+
+def _cells(forms: DataFrame, edges: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """Columns of FEATURES, kind, y, n, fold, sorted: a feature's value is the next of its edges, or one above the last, so
+    that no split at an edge can tell it from the value itself."""
+
+    def up(name: str, at: np.ndarray) -> Column:
+        chain = F
+        for c in at:
+            chain = chain.when(F.col(name) <= float(c), F.lit(float(c)))
+        return chain.otherwise(F.lit(float(at[-1]) + 1)).alias(name)
+
+    key = [*FEATURES, "kind", "y"]
+    cells = forms.select(*[up(n, at) for n, at in zip(FEATURES, edges, strict=True)], kind_of({n: F.col(n) for n in FEATURES}).alias("kind"), F.col("y").cast("int").alias("y"), "n")
+    table = cells.groupBy(*key).agg(F.sum("n").alias("n")).withColumn("fold", F.pmod(F.xxhash64(*key), F.lit(FOLDS))).toArrow()
+    found = {n: table[n].to_numpy() for n in table.column_names}
+    order = np.lexsort([found[n] for n in key])
+    return {n: c[order] for n, c in found.items()}
+
+
+def fit(scan: DataFrame, sample: int | None = None, precision: float = 0.95) -> Chooser:
+    """From all proposals that no base span overlaps and all rendered and spoilt base spans. Only the number of examples
+    in each cell between the edges that the trees may split at comes to the driver, which says all about them that the
+    trees can use. Thresholds are calibrated on all examples, each scored by trees of the other folds. A kind with under
+    ten rows of either class has the threshold of all. sample is without effect; callers may still give it.
+    """
+    forms = written(examples(scan), "pii-forms")
+    quantiles = F.array(*[F.lit(i / CUTS) for i in range(CUTS)])
+    edges = forms.agg(*[F.percentile(n, quantiles, F.col("n")).alias(n) for n in FEATURES]).first()
+    if edges[0] is None:
         return Chooser(boosting.Boosted(FEATURES), (2.0,) * len(KINDS))
-    x = np.array([[r[n] for n in FEATURES] for r in rows], float)
-    y = np.array([_weak(r) for r in picked] + [True] * len(again[0]) + [False] * len(again[1]), float)
-    held = np.array([r["h"] % 4 == 0 for r in rows])
-    model = boosting.fit(x[~held], y[~held], FEATURES, rounds=40)
-    scores = 1 / (1 + np.exp(-model.margin(x[held])))
-    kinds, truth = kind_of({n: x[held][:, i] for i, n in enumerate(FEATURES)}), y[held]
-    of_all = calibrated(scores, truth, precision)
+    edges = [np.unique(at) for at in edges]
+    cells = _cells(forms, edges)
+    x, y, n, kinds = np.stack([cells[f] for f in FEATURES], axis=1), cells["y"].astype(float), cells["n"].astype(float), cells["kind"]
+    learn = lambda w: boosting.fit(x[w > 0], y[w > 0], FEATURES, rounds=40, weight=w[w > 0], edges=edges)
+    # the n examples of a cell are dealt evenly to the folds
+    dealt = [(n + (cells["fold"] + k) % FOLDS) // FOLDS for k in range(FOLDS)]
+    scores = [1 / (1 + np.exp(-learn(n - w).margin(x))) for w in dealt]
+    scores, dealt, truth, kinds = np.concatenate(scores), np.concatenate(dealt), np.tile(y, FOLDS), np.tile(kinds, FOLDS)
 
-    def own(k: int) -> float:
-        mine = kinds == k
-        return calibrated(scores[mine], truth[mine], precision) if 10 <= truth[mine].sum() <= mine.sum() - 10 else of_all
+    def threshold(mine: np.ndarray) -> float:
+        mine = mine & (dealt > 0)
+        return calibrated(scores[mine], truth[mine], precision, weight=dealt[mine])
 
-    return Chooser(model, tuple(own(k) for k in range(len(KINDS))))
+    of_all = threshold(np.full(len(scores), True))
 
+    def own(k: int) -> float:
+        mine = kinds == k
+        return threshold(mine) if 10 <= (dealt * truth)[mine].sum() <= dealt[mine].sum() - 10 else of_all
 
-def _weak(r) -> bool:
-    if r["plus"] and 8 <= r["n_digits"] <= 15:  # a phone that ran into another number
-        return True
-    return r["whole_address"] > 0 or (r["asked_phone"] > 0 and r["masked"] == 0 and r["dated"] == 0 and 7 <= r["n_digits"] <= 15)
+    return Chooser(learn(n), tuple(own(k) for k in range(len(KINDS))))
 
 
 def chosen(scan: DataFrame, chooser: Chooser) -> DataFrame:
@@ -344,7 +372,7 @@ def chosen(scan: DataFrame, chooser: Chooser) -> DataFrame:
     thresholds = F.array(*[F.lit(t) for t in chooser.thresholds])
     scored = F.transform(
         F.filter("__proposed", _new),
-        lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), score(p).alias("score"), kind_of(p["f"], F.when).alias("kind")),
+        lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), score(p).alias("score"), kind_of(p["f"]).alias("kind")),
     )
     # runs of digits don't overlap one another, nor do masked addresses: in order of start, neighbours settle who stays
     sure = F.sort_array(F.filter(scored, lambda p: p["score"] >= F.get(thresholds, p["kind"])))
@@ -361,7 +389,7 @@ def chosen(scan: DataFrame, chooser: Chooser) -> DataFrame:
     return scan.withColumn("__spans", F.concat(*base, added))
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 10_000, precision: float = 0.95) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int | None = None, precision: float = 0.95) -> DataFrame:
     """A row per input row: doc_id, email, ip, card, phone (base spans with values), spans (all, with kind's number).
 
     Each text is scanned once; what it yields is written before the model is fitted. Null and empty texts have no
@@ -372,7 +400,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     return chosen(scan, fit(scan, sample, precision)).select("doc_id", *[F.col(f"__{k}").alias(k) for k in KINDS], F.col("__spans").alias("spans"))
 
 
-def redact(docs: DataFrame, text_col: str = "text", sample: int = 10_000, precision: float = 0.95) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", sample: int | None = None, precision: float = 0.95) -> DataFrame:
     """docs with each span in text_col replaced by [EMAIL], [IP], [CARD] or [PHONE]; overlapping spans by the first's mark.
 
     Rows and other columns stay as they are; a null text stays null. The model is fitted in a first pass.

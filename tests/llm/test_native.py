@@ -210,6 +210,29 @@ def test_pii_recall_and_precision_on_planted_forms(spark):
     assert hits / len(hidden) >= 0.9 and hits / max(hits + wrong, 1) >= 0.95, (hits, len(hidden), wrong)
 
 
+def test_pii_thresholds_count_all_examples(spark):
+    """Of local numbers, 40,000 are rendered from strict phones and 1,500 found as such: 96 % of all, less of 10,000 each."""
+    part = lambda a, n: F.substring(F.lpad(F.col("id").cast("string"), 7, "0"), a, n)
+    forms = [("555-", "-"), ("555.", "."), ("555 ", " "), ("(555) ", "-")]
+    local = F.get(F.array(*[F.concat(F.lit(a), part(1, 3), F.lit(b), part(4, 4)) for a, b in forms]), (F.col("id") % 4).cast("int"))
+    number = F.when(F.col("id") < 40_000, F.concat(F.lit("+1 (555) "), part(1, 3), F.lit("-"), part(4, 4))).otherwise(local)
+    docs = spark.range(41_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("ring "), number, F.lit(" now")).alias("text"))
+    assert pii.examples(pii.scanned(docs, "text")).groupBy("y").sum("n").orderBy("y").collect() == [(False, 1500), (True, 40_000)]
+    added = pii.find_pii(docs).filter("doc_id >= 40000").select("doc_id", "spans").collect()
+    assert len(added) == 1500 and all([s["kind"] for s in r["spans"]] == [3] for r in added)
+
+
+def test_weighted_trees_equal_those_of_repeated_rows():
+    rng = np.random.default_rng(2)
+    x, n = rng.integers(0, 6, size=(200, 3)).astype(float), rng.integers(1, 9, size=200)
+    y = ((x[:, 0] > 2) & (x[:, 1] < 4)) ^ (rng.random(200) < 0.1)
+    edges = [np.arange(6.0)] * 3
+    every = boosting.fit(np.repeat(x, n, axis=0), np.repeat(y, n), ["a", "b", "c"], edges=edges)
+    assert np.allclose(every.margin(x), boosting.fit(x, y, ["a", "b", "c"], weight=n, edges=edges).margin(x))
+    scores = np.round(rng.random(200), 1)
+    assert pii.isotonic(scores, y, n) == pii.isotonic(np.repeat(scores, n), np.repeat(y, n))
+
+
 def test_span_lists(spark):
     docs = _docs(spark, PII_ROWS)
     found = pii.find_pii(docs).select("doc_id", T.span_list([(k, F.col(k)) for k in pii.KINDS], by_start=False).alias("s")).collect()

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from factlens.llm.store import written
 
 #: Fixed rules of the contract: verdict, host, start of the path.
-RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/")]
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 #: Rule tables of at most so many rows are broadcast.
 BROADCAST_ROWS = 100_000
 

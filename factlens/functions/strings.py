@@ -22,8 +22,14 @@ SHORT_PATTERNS = [
 
 
 def is_json(s: Column) -> Column:
-    """Whether the text parses as JSON; false for null."""
-    return F.coalesce(F.try_parse_json(s).isNotNull(), F.lit(False))
+    """Whether the whole text is one JSON value; false for null.
+
+    The parser ignores what follows the first value. So the text must parse as an array's only element and as an object's
+    only value: what follows would have to begin with ] or a comma for the one, with } or a comma for the other; and a
+    comma needs a key and a colon in the object, which the array refuses.
+    """
+    within = lambda start, end: F.try_parse_json(F.concat(F.lit(start), s, F.lit(end))).isNotNull()
+    return F.coalesce(within("[", "]") & within('{"_":', "}"), F.lit(False))
 
 
 def pattern(s: Column) -> Column:

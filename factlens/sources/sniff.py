@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
 from factlens.functions import formats as formats_
+from factlens.functions import strings
 from factlens.functions.binary import begins, signed32, unsigned
 from factlens.functions.formatting import format_bytes
 from factlens.session import ship
@@ -88,7 +89,7 @@ def _size(w: Column, h: Column) -> Column:
 
 def _is_jsonl(t: Column) -> Column:
     lines = F.slice(F.filter(F.split(t, r"\r\n|\r|\n"), lambda x: F.btrim(x) != ""), 1, 20)
-    return (F.size(lines) >= 2) & F.forall(lines, lambda x: F.try_parse_json(x).isNotNull())
+    return (F.size(lines) >= 2) & F.forall(lines, strings.is_json)
 
 
 def _npy(path: Column, head: Column) -> Column:

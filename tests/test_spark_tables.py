@@ -87,6 +87,18 @@ def test_document_types_like_driver(spark, s):
     assert one(spark, s, strings.string_sentence) == describe(s).content or D.text_format(s)
 
 
+@pytest.mark.parametrize(
+    ("s", "valid"),
+    [
+        ("4703443633947811 words after a number", False), ('{"a": 1} {"b": 2}', False), ("[1] x", False), ("1]", False), ("1] x", False), ("1}", False), ("1} x", False), ("1,2", False), ('1,"a":2', False),
+        ("1,", False), ("", False), (None, False), (' {"a": [1, "]}"]}\n', True), ("12", True), ("null", True),
+    ],
+)
+def test_json_is_the_whole_text(spark, s, valid):
+    assert one(spark, s, strings.is_json) is valid
+    assert (one(spark, s, strings.document_type) == "json") is valid
+
+
 @pytest.mark.parametrize("x", [0, 1, 7, 64, 99, 255, 300, 1999, 2100, 5000, 70000, -5, 1_700_000_001, 2**40])
 def test_integers_like_driver(spark, x):
     special = D.int_special(x)

@@ -99,6 +99,12 @@ def test_json_is_the_whole_text(spark, s, valid):
     assert (one(spark, s, strings.document_type) == "json") is valid
 
 
+def test_sentence_of_a_text_that_begins_with_a_number(spark):
+    s = "4703443633947811 " + "some words " * 9
+    assert one(spark, s, strings.string_sentence) == "A prose document string (116 chars)." == describe(s).content
+    assert one(spark, '{"a": "' + "x" * 92 + '"}', strings.string_sentence) == "A json document string (101 chars)."
+
+
 @pytest.mark.parametrize("x", [0, 1, 7, 64, 99, 255, 300, 1999, 2100, 5000, 70000, -5, 1_700_000_001, 2**40])
 def test_integers_like_driver(spark, x):
     special = D.int_special(x)

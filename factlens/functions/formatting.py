@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from factlens.functions.nested import bound
 
-_UNITS = ["B", "KB", "MB", "GB", "TB"]
+_UNITS = ["B", "KB", "MB", "GB", "TB", "PB"]
 
 
 def fixed(x: Column, places: int = 1) -> Column:
@@ -37,23 +37,24 @@ def fixed(x: Column, places: int = 1) -> Column:
     )
 
 
-def format_bytes(n: Column) -> Column:
-    """1024 steps, always one decimal."""
+def format_bytes(n: Column, largest: str = "PB") -> Column:
+    """1024 steps up to the unit `largest`, always one decimal."""
     chain, scale = None, 1.0
-    for unit in _UNITS:
+    for unit in _UNITS[: _UNITS.index(largest)]:
         text = F.concat(fixed(n.cast("double") / scale), F.lit(f" {unit}"))
         test = F.abs(n.cast("double")) / scale < 1024.0
         chain = F.when(test, text) if chain is None else chain.when(test, text)
         scale *= 1024.0
-    return chain.when(n.isNotNull(), F.concat(fixed(n.cast("double") / scale), F.lit(" PB")))
+    text = F.concat(fixed(n.cast("double") / scale), F.lit(f" {largest}"))
+    return text if chain is None else chain.when(n.isNotNull(), text)
 
 
 def bytes_text(n: float) -> str:
-    for unit in _UNITS:
+    for unit in _UNITS[:-1]:
         if abs(n) < 1024.0:
             return f"{n:.1f} {unit}"
         n /= 1024.0
-    return f"{n:.1f} PB"
+    return f"{n:.1f} {_UNITS[-1]}"
 
 
 def format_percent(ratio: Column, places: int = 1) -> Column:

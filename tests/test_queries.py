@@ -44,3 +44,15 @@ def test_query_equals_sql(spark, db, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 8
+
+
+@pytest.mark.parametrize("name", ["format_bytes"])
+def test_orders_with_large_keys(spark, tmp_path, name):
+    """Sizes over a terabyte."""
+    c = duckdb.connect()
+    c.sql(f"COPY (SELECT * REPLACE (o_orderkey * 6151 AS o_orderkey) FROM '{SF}/orders.parquet') TO '{tmp_path}/orders.parquet'")
+    c.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    df, found = QUERIES[name](spark, str(tmp_path)), c.sql(ORACLES[name])
+    columns = found.columns
+    a = sorted(tuple(_norm(r[k]) for k in columns) for r in df.collect())
+    assert a == sorted(tuple(map(_norm, r)) for r in found.fetchall())

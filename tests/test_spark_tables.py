@@ -176,6 +176,7 @@ def test_redaction(spark):
 def test_formatting(spark):
     assert one(spark, 306, formatting.format_bytes, "long") == "306.0 B" == formatting.bytes_text(306)
     assert one(spark, 5 * 1024**3, formatting.format_bytes, "long") == "5.0 GB"
+    assert one(spark, 5 * 1024**4, formatting.format_bytes, "long") == "5.0 TB" and one(spark, 3 * 1024**5, formatting.format_bytes, "long") == "3.0 PB"
     assert one(spark, 90.0, formatting.format_duration, "double") == "1.5 minutes"
     assert one(spark, ["a", "b", "c"], formatting.oxford_comma, "array<string>") == "a, b, and c" == formatting.oxford_text(["a", "b", "c"])
     assert one(spark, list("abcdefg"), formatting.truncate_list, "array<string>") == "a, b, c, d, e, and 2 more"

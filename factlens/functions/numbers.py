@@ -31,7 +31,7 @@ def int_special(x: Column) -> Column:
 def int_facts(x: Column) -> Column:
     x = x.cast("long")
     special = int_special(x)
-    last = 253_402_300_799  # the end of the year 9999
+    last = 9_223_372_036_854  # what a timestamp of microseconds holds, in the year 294247
     facts = F.struct(
         x.alias("value"),
         int_magnitude(x).alias("magnitude"),
@@ -39,7 +39,7 @@ def int_facts(x: Column) -> Column:
         special.alias("special_form"),
         F.when(special == "bit_flag", F.length(F.bin(x)) - 1).alias("bit"),
         F.when(special == "bit_flag", F.concat(F.lit("0x"), F.lower(F.hex(x)))).alias("hex"),
-        F.when((special == "timestamp_unix") & (x <= last), F.date_format(F.timestamp_seconds(F.least(x, F.lit(last))), "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("utc"),
+        F.when((special == "timestamp_unix") & (x <= last), F.date_format(F.timestamp_seconds(F.least(x, F.lit(last))), "y-MM-dd'T'HH:mm:ss'Z'")).alias("utc"),
     )
     return F.when(x.isNotNull(), facts)
 

@@ -46,9 +46,9 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 8
 
 
-@pytest.mark.parametrize("name", ["format_bytes"])
+@pytest.mark.parametrize("name", ["format_bytes", "int_special_form"])
 def test_orders_with_large_keys(spark, tmp_path, name):
-    """Sizes over a terabyte."""
+    """Sizes over a terabyte, timestamps after the year 9999."""
     c = duckdb.connect()
     c.sql(f"COPY (SELECT * REPLACE (o_orderkey * 6151 AS o_orderkey) FROM '{SF}/orders.parquet') TO '{tmp_path}/orders.parquet'")
     c.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")

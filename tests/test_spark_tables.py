@@ -114,6 +114,18 @@ def test_integers_like_driver(spark, x):
     assert one(spark, x, numbers.int_sentence, "long") == describe(x).content
 
 
+@pytest.mark.parametrize(
+    ("x", "utc"),
+    [
+        (1_000_000_001, "2001-09-09T01:46:41Z"), (253_402_300_799, "9999-12-31T23:59:59Z"), (253_402_300_800, "10000-01-01T00:00:00Z"),
+        (900_894_000_001, "30518-03-12T21:20:01Z"), (9_223_372_036_854, "294247-01-10T04:00:54Z"), (9_223_372_036_855, None),
+    ],
+)
+def test_timestamps_after_the_year_9999(spark, x, utc):
+    f = one(spark, x, numbers.int_facts, "long")
+    assert f["special_form"] == "timestamp_unix" and f["utc"] == utc == D.int_special(x).get("utc")
+
+
 @pytest.mark.parametrize("x", [0.5, 42.0, -45.5, 150.25, -170.0, 1234.56, 1234.567, 1e9])
 def test_floats_like_driver(spark, x):
     assert one(spark, x, numbers.float_pattern, "double") == D.float_pattern(x)

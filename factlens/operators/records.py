@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factlens.functions.strings import is_json
+
 
 def json_type(value: Column) -> Column:
     """The type name of a variant: object, array, string, bigint, double, boolean or void."""
@@ -18,7 +20,7 @@ def record_schema(df: DataFrame, column: str, least_share: float = 0.8) -> DataF
     A key is consistent if at least int(share * records) have it. Texts that aren't objects are no records.
     """
     text = F.col(column).cast("string")
-    variant = F.try_parse_json(text)
+    variant = F.when(is_json(text), F.try_parse_json(text))
     records = df.select(F.when(F.json_object_keys(F.when(variant.isNotNull(), text)).isNotNull(), variant).alias("v"), text.alias("t")).filter("v IS NOT NULL")
     pairs = records.select("v", F.explode(F.json_object_keys("t")).alias("key"))
     typed = pairs.select("key", F.coalesce(json_type(F.try_variant_get(F.col("v"), F.lit("$"), "map<string,variant>")[F.col("key")]), F.lit("void")).alias("type"))
@@ -36,7 +38,8 @@ def json_key_counts(df: DataFrame, column: str) -> DataFrame:
 
 def type_distribution(df: DataFrame, column: str) -> DataFrame:
     """(type, n) of the JSON values in a text column; text that doesn't parse counts as invalid."""
-    kind = json_type(F.try_parse_json(F.col(column).cast("string")))
+    text = F.col(column).cast("string")
+    kind = json_type(F.when(is_json(text), F.try_parse_json(text)))
     return df.select(F.coalesce(kind, F.when(F.col(column).isNull(), "void").otherwise("invalid")).alias("type")).groupBy("type").agg(F.count("*").alias("n"))
 
 

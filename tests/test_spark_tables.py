@@ -215,6 +215,9 @@ def test_records_and_shapes(spark):
     assert found["b"]["n"] == 2 and found["b"]["types"] == ["string"]
     types = {r["type"]: r["n"] for r in records.type_distribution(df, "j").collect()}
     assert types == {"object": 3, "invalid": 1, "void": 1}
+    followed = spark.createDataFrame([('{"a":1} {"a":2}',), ("4703 words",), ('{"a":3}',), ("12",)], "j string")
+    assert {r["type"]: r["n"] for r in records.type_distribution(followed, "j").collect()} == {"object": 1, "bigint": 1, "invalid": 2}
+    assert [(r["key"], r["n"], r["n_records"]) for r in records.record_schema(followed, "j").collect()] == [("a", 1, 1)]
     edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (None, 3)], "src int, dst int")
     g = shapes.graph_facts(edges).first()
     assert (g["node_count"], g["edge_count"]) == (3, 2) and g["density"] == pytest.approx(2 / 3)

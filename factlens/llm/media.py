@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import defaultdict
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -76,9 +78,14 @@ class _Huffman:
                 self.codes[(length, code)] = symbols[i]
                 code, i = code + 1, i + 1
             code <<= 1
+        self.symbols = {1 << length | code: s for (length, code), s in self.codes.items()}
         self.only = (next(iter(self.codes.items()))) if len(self.codes) == 1 else None
 
 
+#: Pictures of one source have the same few tables; they are only read.
+_huffman = lru_cache(256)(_Huffman)
+
+
 class _Bits:
     def __init__(self, data: np.ndarray):
         self.bits, self.at = np.unpackbits(data).tolist(), 0
@@ -90,19 +97,22 @@ class _Bits:
         return self.bits[self.at - 1]
 
     def many(self, n: int) -> int:
-        out = 0
-        for _ in range(n):
-            out = out << 1 | self.one()
+        out, at = 0, self.at
+        self.at = at + n
+        if self.at > len(self.bits):
+            raise JpegError("a scan ends early")
+        for bit in self.bits[at : self.at]:
+            out = out << 1 | bit
         return out
 
     def symbol(self, table: _Huffman) -> int:
-        code = 0
-        for length in range(1, 17):
-            code = code << 1 | self.one()
-            found = table.codes.get((length, code))
-            if found is not None:
-                return found
-        raise JpegError("no such code")
+        code, at, symbols = 1, self.at, table.symbols
+        for bit in self.bits[at : at + 16]:
+            code = code << 1 | bit
+            if code in symbols:
+                self.at = at + code.bit_length() - 1
+                return symbols[code]
+        raise JpegError("no such code" if at + 16 <= len(self.bits) else "a scan ends early")
 
     def signed(self, size: int) -> int:
         if not size:
@@ -113,15 +123,18 @@ class _Bits:
 
 def _entropy(data: bytes, at: int) -> tuple[list[np.ndarray], int]:
     """The scan's data from `at`, without stuffing, cut at restart marks; and where the next marker is."""
-    end = at
+    end, restarts = at, False
     while True:
         end = data.find(b"\xff", end)
         if end < 0 or end + 1 >= len(data):
             raise JpegError("a scan without an end")
         if data[end + 1] == 0 or 0xD0 <= data[end + 1] <= 0xD7:
+            restarts |= data[end + 1] != 0
             end += 2
             continue
         break
+    if not restarts:
+        return [np.frombuffer(data[at:end].replace(b"\xff\x00", b"\xff"), np.uint8)], end
     raw = np.frombuffer(data, np.uint8, end - at, at)
     mark = np.flatnonzero((raw[:-1] == 0xFF) & (raw[1:] != 0)) if len(raw) > 1 else np.empty(0, int)
     stuffed = np.flatnonzero((raw[:-1] == 0xFF) & (raw[1:] == 0)) + 1 if len(raw) > 1 else np.empty(0, int)
@@ -158,7 +171,7 @@ def decode_coefficients(data: bytes) -> Picture:
         elif kind == 0xC4:
             while body:
                 n = sum(body[1:17])
-                tables[(body[0] >> 4, body[0] & 15)] = _Huffman(body[1:17], body[17 : 17 + n])
+                tables[(body[0] >> 4, body[0] & 15)] = _huffman(bytes(body[1:17]), bytes(body[17 : 17 + n]))
                 body = body[17 + n :]
         elif kind == 0xDD:
             restart = int.from_bytes(body[:2], "big")
@@ -194,31 +207,49 @@ def decode_coefficients(data: bytes) -> Picture:
     return picture
 
 
-def _units(picture: Picture, scan) -> list[list[tuple[Component, int, int, int]]]:
-    """For each unit of the scan its blocks: component, row in coef, tables."""
+def _places(scan) -> list[list[tuple[int, int]]]:
+    """For each unit of the scan its blocks: which of the scan's components, row in coef."""
     if len(scan) == 1:
-        c, dc, ac = scan[0]
-        return [[(c, y * c.blocks_w + x, dc, ac)] for y in range(c.own_h) for x in range(c.own_w)]
+        c = scan[0][0]
+        return [[(0, y * c.blocks_w + x)] for y in range(c.own_h) for x in range(c.own_w)]
     c0 = scan[0][0]
     uw, uh = c0.blocks_w // c0.h, c0.blocks_h // c0.v
     return [
-        [(c, (uy * c.v + y) * c.blocks_w + ux * c.h + x, dc, ac) for c, dc, ac in scan for y in range(c.v) for x in range(c.h)]
+        [(i, (uy * c.v + y) * c.blocks_w + ux * c.h + x) for i, (c, _, _) in enumerate(scan) for y in range(c.v) for x in range(c.h)]
         for uy in range(uh)
         for ux in range(uw)
     ]
 
 
+_SMALL_PLACES: dict[tuple, list[list[tuple[int, int]]]] = {}
+
+
+def _units(scan) -> list[list[tuple[int, int]]]:
+    """_places, kept for some small shapes."""
+    shape = tuple((c.h, c.v, c.blocks_w, c.blocks_h, c.own_w, c.own_h) for c, _, _ in scan)
+    found = _SMALL_PLACES.get(shape)
+    if found is None:
+        found = _places(scan)
+        if sum(w * h for _, _, w, h, _, _ in shape) <= 256 and len(_SMALL_PLACES) < 256:
+            _SMALL_PLACES[shape] = found
+    return found
+
+
 def _scan(picture, scan, tables, start, stop, high, low, restart, pieces) -> None:
     if _scan_at_once(picture, scan, tables, start, stop, high, low, restart, pieces):
         return
-    units = _units(picture, scan)
+    units = _units(scan)
     step = restart or len(units)
     if len(pieces) < -(-len(units) // step):
         raise JpegError("fewer restarts than due")
     for i, piece in zip(range(0, len(units), step), pieces, strict=False):
         bits, eobrun, last = _Bits(piece), 0, {c.id: 0 for c, _, _ in scan}
         for unit in units[i : i + step]:
-            for c, row, dc, ac in unit:
+            for part, row in unit:
+                if eobrun and not high:  # nothing of a first scan's block in an end-of-band run is coded
+                    eobrun -= 1
+                    continue
+                c, dc, ac = scan[part]
                 block = c.coef[row]
                 if not picture.progressive:
                     last[c.id] += bits.signed(bits.symbol(tables[(0, dc)]))
@@ -360,26 +391,45 @@ def _signed(bits: np.ndarray) -> np.ndarray:
 
 def samples(picture: Picture, c: Component) -> np.ndarray:
     """A component's plane of 8-bit samples, padded to whole blocks."""
+    return _planes(picture, c, [c.coef])[0]
+
+
+def _planes(picture: Picture, c: Component, coefs: list[np.ndarray]) -> np.ndarray:
+    """The component's planes in pictures of one shape, from their blocks."""
     table = picture.quant.get(c.table)
     if table is None:
         raise JpegError("no quantisation table")
-    out = np.empty((len(c.coef), 64), np.uint8)
-    for i in range(0, len(c.coef), 4096):
-        part = (c.coef[i : i + 4096] * table[None, :]).astype(np.float32) @ _INVERSE
+    coef = np.concatenate(coefs)
+    out = np.empty((len(coef), 64), np.uint8)
+    for i in range(0, len(coef), 4096):
+        part = (coef[i : i + 4096] * table[None, :]).astype(np.float32) @ _INVERSE
         out[i : i + 4096] = np.clip(np.rint(part) + 128, 0, 255)
-    return out.reshape(c.blocks_h, c.blocks_w, 8, 8).swapaxes(1, 2).reshape(c.blocks_h * 8, c.blocks_w * 8)
+    return out.reshape(len(coefs), c.blocks_h, c.blocks_w, 8, 8).swapaxes(2, 3).reshape(len(coefs), c.blocks_h * 8, c.blocks_w * 8)
+
+
+def _shape(picture: Picture) -> tuple:
+    """What pictures must share to be brought to RGB together."""
+    tables = [picture.quant.get(c.table) for c in picture.components]
+    parts = [(c.h, c.v, c.blocks_w, c.blocks_h, None if t is None else t.tobytes()) for c, t in zip(picture.components, tables, strict=True)]
+    return picture.width, picture.height, *parts
 
 
 def to_rgb(picture: Picture) -> np.ndarray:
     """Height x width x 3; chroma is repeated up to full resolution, grey is copied to all three."""
+    return _rgb_of([picture])[0]
+
+
+def _rgb_of(pictures: list[Picture]) -> np.ndarray:
+    """to_rgb of pictures of one shape, on whole arrays."""
+    picture = pictures[0]
     hm, vm = max(c.h for c in picture.components), max(c.v for c in picture.components)
     planes = []
-    for c in picture.components:
-        p = samples(picture, c)
+    for i, c in enumerate(picture.components):
+        p = _planes(picture, c, [x.components[i].coef for x in pictures])
         if hm % c.h or vm % c.v:
             raise JpegError("fractional subsampling")
-        p = p.repeat(vm // c.v, axis=0).repeat(hm // c.h, axis=1)
-        planes.append(p[: picture.height, : picture.width])
+        p = p.repeat(vm // c.v, axis=1).repeat(hm // c.h, axis=2)
+        planes.append(p[:, : picture.height, : picture.width])
     if len(planes) == 1:
         return np.stack(planes * 3, axis=-1)
     if len(planes) != 3:
@@ -594,15 +644,37 @@ def flat_pictures(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("id").cast("long").alias("id"), *planes).mapInArrow(_flat, "id long, media binary")
 
 
+#: Pixels that wait for others of their picture's shape.
+_AT_ONCE = 1 << 20
+
+
 def _tensors(batches):
     for b in batches:
-        rows = []
-        for m in b.column(1):
+        rows, waiting, held = [(None, None, None)] * b.num_rows, defaultdict(list), 0
+
+        def settle(rows=rows, waiting=waiting):
+            for same in waiting.values():
+                try:
+                    found = _rgb_of([p for _, p in same])
+                except JpegError:
+                    continue
+                for (i, _), rgb in zip(same, found, strict=True):
+                    rows[i] = (rgb.shape[0], rgb.shape[1], rgb.tobytes())
+            waiting.clear()
+
+        for i, m in enumerate(b.column(1)):
+            if not m.is_valid:
+                continue
             try:
-                rgb = decode(m.as_py()) if m.is_valid else None
+                picture = decode_coefficients(m.as_py())
             except (JpegError, KeyError, IndexError):
-                rgb = None
-            rows.append((rgb.shape[0], rgb.shape[1], rgb.tobytes()) if rgb is not None else (None, None, None))
+                continue
+            waiting[_shape(picture)].append((i, picture))
+            held += picture.width * picture.height
+            if held >= _AT_ONCE:
+                settle()
+                held = 0
+        settle()
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
         yield pa.RecordBatch.from_arrays(
             [b.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.binary()), strict=True))], ["id", "height", "width", "rgb"]

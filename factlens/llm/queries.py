@@ -224,7 +224,9 @@ def planted_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     # luma in raster order of 2 x 4 blocks is block i; the file has them unit by unit
     luma = F.array(*[(k * 7 + i * 23) % 161 - 80 for i in (0, 1, 4, 5, 2, 3, 6, 7)])
     chroma = [F.array(*[(k * a + u * b) % 81 - 40 for u in (0, 1)]) for a, b in ((5, 31), (3, 17))]
-    parts = _table(spark, sf_dir, "part").select(k.alias("id"), luma.alias("luma"), chroma[0].alias("blue"), chroma[1].alias("red"))
+    # a few bytes a key make many pictures: dealt out by rows, since files are split by bytes
+    keys = _table(spark, sf_dir, "part").select("p_partkey").repartition(4 * spark.sparkContext.defaultParallelism)
+    parts = keys.select(k.alias("id"), luma.alias("luma"), chroma[0].alias("blue"), chroma[1].alias("red"))
     places = [(i // 4 * 8 + i * 3 % 8) * 32 + i % 4 * 8 + i * 5 % 8 for i in range(8)]
     value = lambda at: F.conv(F.hex(F.substring("rgb", at + 1, 1)), 16, 10)
     pixels = F.concat_ws(";", *[F.concat_ws(",", *[value(3 * p + c) for c in range(3)]) for p in places])

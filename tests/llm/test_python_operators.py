@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -462,6 +463,31 @@ def test_pack_round_trip_on_both_paths(units, monkeypatch):
             media.unpack(media.decode_coefficients(bad))
 
 
+def test_pictures_are_decoded_together_and_dealt_out_by_rows(spark, tmp_path, monkeypatch):
+    from factlens.llm import queries
+
+    rng = random.Random(3)
+    stored = [media.flat_picture([rng.randrange(-80, 81) for _ in range(4 * u)], [rng.randrange(-40, 41) for _ in range(u)], [5] * u) for u in (1, 2, 3, 2, 1, 2) * 3]
+    stored += [media.pack(b"text" * 48), b"junk", None, stored[0][:-30], stored[4]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(stored)), pa.int64()), pa.array(stored, pa.binary())], ["id", "media"])
+    for most in (1 << 20, 1000, 1):
+        monkeypatch.setattr(media, "_AT_ONCE", most)
+        (got,) = media._tensors([batch])
+        assert got.column(0).to_pylist() == list(range(len(stored)))
+        for m, rgb, h, w in zip(stored, *(got.column(i).to_pylist() for i in (3, 1, 2)), strict=True):
+            try:
+                want = media.decode(m or b"")
+            except media.JpegError:
+                assert rgb is h is w is None
+                continue
+            assert (rgb, h, w) == (want.tobytes(), *want.shape[:2])
+        assert got.column(3).null_count == 3
+    # one small file of keys is not one task
+    spark.range(200).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    tasks = queries.planted_pictures(spark, str(tmp_path)).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks >= spark.sparkContext.defaultParallelism > 1
+
+
 def test_media(spark):
     rows = [(1, "abc"), (2, None), (3, ""), (4, "é" * 500), (5, "x" * 192), (5, "x" * 192), (None, "abc"), (6, "y" * 300_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("media", F.lit("clash"))
